@@ -136,9 +136,7 @@ def report(spark, sf_dir):
 
 @query("q_s8_responses")
 def responses(spark, sf_dir):
-    explainers = fixtures.linear_explainers()
-    explained = explained_flows(decided(spark, sf_dir), explainers)
-    record = voting.result_record(explained, ["flow_id", "explained"], "attack_hint")
+    record = voting.result_record(explained(spark, sf_dir), ["flow_id", "explained"], "attack_hint")
     summary = text.ensemble_text(F.col("prediction"), F.col("explained"))
     brief = text.briefing(F.col("prediction"), F.col("confidence"), F.col("explained"))
     top = F.transform("explained", lambda e: F.struct(e["feature"].alias("feature"), e["importance"].alias("importance")))
@@ -509,16 +507,16 @@ def confusion(spark, sf_dir):
 def quality(spark, sf_dir):
     rows = scored(spark, sf_dir, "Label")
     agents = metrics.quality(metrics.agent_confusion(rows))
-    ensemble = voting.vote(rows).withColumn("label", metrics.decision_label(F.col("prediction")))
-    whole = metrics.quality(metrics.confusion(ensemble, prediction="label"))
+    ensemble = voting.vote(rows).withColumn("decision", metrics.decision_label(F.col("prediction")))
+    whole = metrics.quality(metrics.confusion(ensemble, prediction="decision"))
     return agents.unionByName(whole.withColumn("agent", F.lit("ensemble")))
 
 
 @query("q_a7_detection_rate")
 def detection_rate(spark, sf_dir):
     rows = decided(spark, sf_dir, "Attack", "Label")
-    judged = rows.withColumn("label", metrics.decision_label(F.col("prediction")))
-    return metrics.detection_rate(judged, prediction="label")
+    judged = rows.withColumn("decision", metrics.decision_label(F.col("prediction")))
+    return metrics.detection_rate(judged, prediction="decision")
 
 
 # --- training and scoring with Spark ML ------------------------------------------------------------------
@@ -654,8 +652,8 @@ def long_vote(spark, sf_dir):
 
 @query("q_e9_collapse")
 def collapse(spark, sf_dir):
-    rows = votes(spark, sf_dir, "request_id")
-    return voting.vote_long(voting.collapse_request(rows, "request_id", "flow_id"), "request_id")
+    rows = voting.collapse_requests(scored(spark, sf_dir, "request_id"), "request_id", "flow_id")
+    return voting.vote(rows).select("request_id", "prediction", "confidence", "vote_benign", "vote_anomaly")
 
 
 @query("q_e10_result_record")
@@ -702,16 +700,11 @@ def flagship(spark, sf_dir):
 # --- attribution ---------------------------------------------------------------------------------------------
 
 
-def explained_flows(rows: DataFrame, explainers) -> DataFrame:
-    """Attributions, top entries per detector and the combined top entries of routed flows."""
-    for e, a in zip(explainers, AGENTS):
-        rows = attribution.attribute(rows, e, F.col(a.routed))
-    rows = attribution.with_top_entries(rows, explainers)
-    return rows.withColumn("explained", attribution.combine_agents(rows, explainers))
-
-
 def explained(spark, sf_dir) -> DataFrame:
-    return explained_flows(decided(spark, sf_dir), fixtures.linear_explainers())
+    """Decided flows with their explanations per detector and the combined one."""
+    routed = {a.name: F.col(a.routed) for a in AGENTS}
+    rows = attribution.explain(decided(spark, sf_dir), fixtures.linear_explainers(), routed)
+    return attribution.combine(rows)
 
 
 @query("q_x1_global_importance")
@@ -725,7 +718,7 @@ def global_importance(spark, sf_dir):
 @query("q_x2_linear_attribution")
 def linear_attribution(spark, sf_dir):
     explainer = fixtures.linear_explainers()[4]
-    rows = attribution.attribute(cleanse.align(fixtures.flows(spark, sf_dir), ["flow_id"]), explainer)
+    rows = cleanse.align(fixtures.flows(spark, sf_dir), ["flow_id"])
     return attribution.attributions_long(rows, ["flow_id"], explainer)
 
 
@@ -759,14 +752,7 @@ def batch_importance(spark, sf_dir):
 
 @query("q_x6_top_per_flow")
 def top_per_flow(spark, sf_dir):
-    rows = explained(spark, sf_dir)
-    tops = F.array(
-        *[
-            F.struct(F.lit(e.agent).alias("agent"), F.col(f"{e.column}_top").alias("top"))
-            for e in fixtures.linear_explainers()
-        ]
-    )
-    long = rows.select("flow_id", F.inline(tops)).filter("top is not null")
+    long = attribution.unfold(explained(spark, sf_dir), ["flow_id"], "explanations")
     first = F.get("top", F.lit(0))
     return long.select(
         "flow_id",
@@ -779,21 +765,16 @@ def top_per_flow(spark, sf_dir):
 
 @query("q_x7_combined")
 def combined(spark, sf_dir):
-    rows = explained(spark, sf_dir).select("flow_id", F.posexplode("explained").alias("pos", "e"))
-    return rows.select(
-        "flow_id",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("e.feature").alias("feature"),
-        F.col("e.importance").alias("importance"),
-    )
+    rows = attribution.unfold(explained(spark, sf_dir), ["flow_id"], "explained")
+    return rows.select("flow_id", (F.col("place") + 1).alias("rank"), "feature", "importance")
 
 
 @query("q_x8_agent_text")
 def agent_texts(spark, sf_dir):
     rows = explained(spark, sf_dir)
-    explainer = fixtures.linear_explainers()[6]
-    words = text.agent_text(F.lit(explainer.agent), F.col(f"{explainer.column}_top"))
-    return rows.select("flow_id", words.alias("explanation"))
+    agent = AGENTS[6].name
+    tops = rows.select("flow_id", attribution.top_of(F.col("explanations"), agent).alias("top"))
+    return tops.select("flow_id", text.agent_text(F.lit(agent), F.col("top")).alias("explanation"))
 
 
 @query("q_x9_ensemble_text")
@@ -838,7 +819,7 @@ def answers(spark, sf_dir):
 
 def event_stream(spark, sf_dir) -> DataFrame:
     schema = fixtures.table(spark, sf_dir, "events").schema
-    events = monitor.read_stream(spark, f"{sf_dir}/events.parquet", schema)
+    events = monitor.read_stream(spark, sf_dir, schema, "events.parquet")
     return fixtures.as_event_flows(events)
 
 

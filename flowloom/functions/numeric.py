@@ -13,12 +13,12 @@ _INFINITY = float("inf")
 
 
 def is_finite(value: Column) -> Column:
-    """True for a number that is neither null, NaN nor infinite."""
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < _INFINITY)
+    """True for a number that is neither null, NaN nor infinite; Spark orders NaN above infinity."""
+    return F.coalesce(F.abs(value) < _INFINITY, F.lit(False))
 
 
 def finite_or_zero(value: Column) -> Column:
-    return F.when(is_finite(value), value).otherwise(F.lit(0.0))
+    return F.when(F.abs(value) < _INFINITY, value).otherwise(F.lit(0.0))
 
 
 def total(columns, start: float | int = 0.0) -> Column:

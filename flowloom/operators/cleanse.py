@@ -54,7 +54,7 @@ def align(df: DataFrame, keep: Sequence[str] = (), *, track: Sequence[str] = ())
 
     ``track`` names features whose presence is to be kept as bits, since filling with zeros loses it.
     """
-    columns = [F.col(c) for c in keep]
+    columns = [F.col(c) for c in keep if c not in POSITION]
     if track:
         columns.append(feature_bits(df, track).alias(BITS))
     for f in CANONICAL:

@@ -69,7 +69,8 @@ def route_long(df: DataFrame, hint: str | None = None, agents: Sequence[Agent] =
     """One row per flow and detector that may judge it, with the columns of the flow and ``agent``."""
     named = _name_hint(df, hint)
     names = compact([F.when(participates(named, a, hint), F.lit(a.name)) for a in agents])
-    return named.withColumn("agent", F.explode(names)).drop(HINTED_CLASS)
+    # The outer form keeps the optimizer from testing the array for emptiness by computing it twice.
+    return named.withColumn("agent", F.explode_outer(names)).drop(HINTED_CLASS).filter("agent is not null")
 
 
 def participating(agents: Sequence[Agent] = AGENTS) -> Column:

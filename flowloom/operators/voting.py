@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
-from flowloom.functions.numeric import total
+from flowloom.functions.numeric import is_finite, total
 from flowloom.functions.scoring import is_valid_vote
 from flowloom.operators.routing import abstaining, participating
 from flowloom.schema import AGENTS, Agent
@@ -71,9 +71,9 @@ def vote(scored: DataFrame, agents: Sequence[Agent] = AGENTS) -> DataFrame:
     """Add prediction, confidence and the two vote weights to routed and scored flows."""
 
     def side(wanted: int) -> tuple[Column, Column]:
+        # Equal to the wanted class also means that it is one of the two valid classes.
         counts = [
-            F.col(a.routed) & is_valid_vote(F.col(a.prediction), F.col(a.confidence)) & (F.col(a.prediction) == wanted)
-            for a in agents
+            F.col(a.routed) & (F.col(a.prediction) == wanted) & is_finite(F.col(a.confidence)) for a in agents
         ]
         weights = [F.when(c, F.col(a.confidence)).otherwise(F.lit(0.0)) for c, a in zip(counts, agents)]
         return total(weights), total([F.coalesce(c, F.lit(False)).cast("int") for c in counts], 0)
@@ -105,14 +105,22 @@ def vote_long(votes: DataFrame, *keys: str) -> DataFrame:
     return tallied.select(*keys, *[c.alias(n) for n, c in outcome.items()])
 
 
-def collapse_request(votes: DataFrame, request: str, order: str) -> DataFrame:
-    """One vote per request and detector: its prediction for the first row, its mean confidence.
+def collapse_requests(scored: DataFrame, request: str, order: str, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+    """One routed and scored row per request, so that a request gets one answer.
 
-    ``order`` ranks the rows of a request and must be unique within it.
+    Each detector has the prediction it gives for its first row of the request and the mean of its
+    confidences. ``order`` ranks the rows of a request and must be unique within it. All of it combines
+    before the shuffle, so a request may hold any number of flows.
     """
-    return votes.groupBy(request, "agent").agg(
-        F.min_by("prediction", order).alias("prediction"), F.avg("confidence").alias("confidence")
-    )
+    columns = []
+    for a in agents:
+        there = F.col(a.routed)
+        columns += [
+            F.coalesce(F.bool_or(there), F.lit(False)).alias(a.routed),
+            F.min_by(a.prediction, F.when(there, F.col(order))).alias(a.prediction),
+            F.avg(F.when(there, F.col(a.confidence))).alias(a.confidence),
+        ]
+    return scored.groupBy(request).agg(*columns)
 
 
 def detected_type(hint: Column, prediction: Column) -> Column:
