@@ -57,23 +57,22 @@ def canonical_classes(spark: SparkSession) -> DataFrame:
     return first.distinct()
 
 
+_GROUPS = (
+    ("rare", fv.RARE_CLASSES, fv.RARE_CAP),
+    ("common", fv.COMMON_CLASSES, fv.COMMON_CAP),
+    ("benign", (fv.BENIGN_CLASS.lower(),), fv.BENIGN_CAP),
+)
+# Classes that the class-capped sample takes without being asked to.
+SAMPLED_CLASSES = tuple(word for _, words, _ in _GROUPS for word in words)
+
+
 def sampling_group(name: Column) -> Column:
     """rare, common, benign or other."""
-    word = F.lower(name)
-    return (
-        F.when(word.isin(*fv.RARE_CLASSES), "rare")
-        .when(word.isin(*fv.COMMON_CLASSES), "common")
-        .when(word == fv.BENIGN_CLASS.lower(), "benign")
-        .otherwise("other")
-    )
+    groups = _literal_map({word: group for group, words, _ in _GROUPS for word in words})
+    return F.coalesce(F.try_element_at(groups, F.lower(name)), F.lit("other"))
 
 
 def sampling_cap(name: Column, other_cap: int = 0) -> Column:
     """How many rows of a class the class-capped sample takes at most."""
-    group = sampling_group(name)
-    return (
-        F.when(group == "rare", F.lit(fv.RARE_CAP))
-        .when(group == "common", F.lit(fv.COMMON_CAP))
-        .when(group == "benign", F.lit(fv.BENIGN_CAP))
-        .otherwise(F.lit(other_cap))
-    )
+    caps = _literal_map({word: cap for _, words, cap in _GROUPS for word in words})
+    return F.coalesce(F.try_element_at(caps, F.lower(name)), F.lit(other_cap))

@@ -1,10 +1,11 @@
 """Exact seeded sampling and splitting without giving a whole class to one task.
 
 To take the k rows of a group with the smallest order keys, ranking the group would put all its
-rows into one task. Instead the keys are counted by prefix (65,536 buckets per group, combined
-before the shuffle), the running count names the bucket in which the k-th row lies, and only the rows of that
-bucket are ranked. The k-th key is then a cut: the selection is a filter on the full table, which is
-never shuffled. The helper tables hold at most one row per group, or one per group and bucket.
+rows into one task. Instead the keys are counted by a short prefix, which combines well before the
+shuffle, and the running count names the bucket in which the k-th row lies. Only the rows of those
+buckets (1 in 256) are looked at again, counted by a longer prefix, and only the rows of the bucket
+found then (1 in a million) are ranked. The k-th key is a cut: the selection is a filter on the
+full table, which is never shuffled. Helper tables have at most 256, then 4,096 rows per group.
 
 Row identities must be unique; copies of one row need identities of their own
 (``sources.flows.with_row_identity`` gives them).
@@ -19,18 +20,34 @@ from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
 from flowloom.functions.numeric import hash_fraction, hash_order
-from flowloom.functions.taxonomy import sampling_cap
+from flowloom.functions.taxonomy import SAMPLED_CLASSES, sampling_cap
 from flowloom.session import write_table
 
 _GROUP, _KEY, _BUCKET, _CUT = "_group", "_key", "_bucket", "_cut"
-_PREFIX = 4
+_COARSE, _FINE = 2, 5  # hexadecimal digits of the order key
 
 QuotaRule = Callable[[DataFrame], DataFrame]
 
 
-def _keyed(df: DataFrame, group: Column, identity: str, seed: int) -> DataFrame:
-    key = hash_order(F.col(identity), seed)
-    return df.select(group.alias(_GROUP), key.alias(_KEY)).withColumn(_BUCKET, F.substring(_KEY, 1, _PREFIX))
+def _histogram(keyed: DataFrame, digits: int) -> DataFrame:
+    return keyed.groupBy(_GROUP, F.substring(_KEY, 1, digits).alias(_BUCKET)).agg(F.count("*").alias("n"))
+
+
+def _edges(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per group the bucket that holds its row number ``nth``, and the number of that row inside it."""
+    upto = F.sum("n").over(Window.partitionBy(_GROUP).orderBy(_BUCKET))
+    return (
+        histogram.withColumn("upto", upto)
+        .join(wanted, F.col(_GROUP).eqNullSafe(F.col("_g")))
+        .filter((F.col("upto") >= F.col("nth")) & (F.col("upto") - F.col("n") < F.col("nth")))
+        .select("_g", F.col(_BUCKET).alias("_b"), (F.col("nth") - F.col("upto") + F.col("n")).alias("nth"))
+    )
+
+
+def _inside(keyed: DataFrame, edges: DataFrame, digits: int) -> DataFrame:
+    """The rows in the buckets of the edges: (_group, _key, nth)."""
+    same_bucket = F.substring(_KEY, 1, digits) == F.col("_b")
+    return keyed.join(edges, F.col(_GROUP).eqNullSafe(F.col("_g")) & same_bucket).select(_GROUP, _KEY, "nth")
 
 
 def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED) -> DataFrame:
@@ -38,25 +55,17 @@ def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed
 
     ``quota`` maps a table (_group, n) of group sizes to one with an added column ``quota``.
     """
-    keyed = _keyed(df, group, identity, seed)
-    histogram = write_table(keyed.groupBy(_GROUP, _BUCKET).agg(F.count("*").alias("n")), "key-histogram")
-    wanted = quota(histogram.groupBy(_GROUP).agg(F.sum("n").alias("n"))).select(
-        F.col(_GROUP).alias("_g"), F.least("quota", "n").alias("quota")
+    keyed = df.select(group.alias(_GROUP), hash_order(F.col(identity), seed).alias(_KEY))
+    coarse = write_table(_histogram(keyed, _COARSE), "key-histogram")
+    wanted = quota(coarse.groupBy(_GROUP).agg(F.sum("n").alias("n"))).select(
+        F.col(_GROUP).alias("_g"), F.least("quota", "n").alias("nth")
     )
-    running = F.sum("n").over(Window.partitionBy(_GROUP).orderBy(_BUCKET))
-    edge = (
-        histogram.withColumn("upto", running)
-        .join(wanted, F.col(_GROUP).eqNullSafe(F.col("_g")))
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(
-            F.col(_GROUP).alias("_g"), F.col(_BUCKET).alias("_b"), (F.col("quota") - F.col("upto") + F.col("n")).alias("nth")
-        )
-    )
-    edge = write_table(edge, "cut-buckets")
-    inside = keyed.join(edge, F.col(_GROUP).eqNullSafe(F.col("_g")) & (F.col(_BUCKET) == F.col("_b")))
+    edges = write_table(_edges(coarse, wanted), "cut-buckets")
+    near = write_table(_inside(keyed, edges, _COARSE), "near-cuts")
+    fine = _edges(_histogram(near, _FINE), edges.select("_g", "nth"))
     rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_KEY))
-    cuts = inside.withColumn("rank", rank).filter("rank = nth").select(_GROUP, F.col(_KEY).alias(_CUT))
-    return write_table(cuts, "cut-keys")
+    cuts = _inside(near.select(_GROUP, _KEY), fine, _FINE).withColumn("rank", rank).filter("rank = nth")
+    return write_table(cuts.select(_GROUP, F.col(_KEY).alias(_CUT)), "cut-keys")
 
 
 def mark_selected(
@@ -69,8 +78,11 @@ def mark_selected(
     return joined.withColumn(flag, chosen).drop("_g", _CUT)
 
 
-def _selected(df, group, identity, quota, seed) -> DataFrame:
-    return mark_selected(df, group, identity, quota, seed, "_selected").filter("_selected").drop("_selected")
+def _selected(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int) -> DataFrame:
+    """Only the quota of each group."""
+    cuts = cut_keys(df, group, identity, quota, seed).withColumnRenamed(_GROUP, "_g")
+    within = hash_order(F.col(identity), seed) <= F.col(_CUT)
+    return df.join(cuts, group.eqNullSafe(F.col("_g")) & within, "left_semi")
 
 
 def sample_by_ratio(
@@ -97,8 +109,8 @@ def sample_by_class(df: DataFrame, identity: str, other_cap: int = 0, seed: int
 
     Other classes are dropped unless ``other_cap`` gives each of them a cap.
     """
-    kept = df.filter(sampling_cap(F.col(fv.ATTACK_COLUMN), other_cap) > 0)
     word = F.lower(F.col(fv.ATTACK_COLUMN))
+    kept = df.filter(word.isNotNull()) if other_cap else df.filter(word.isin(*SAMPLED_CLASSES))
 
     def quota(sizes: DataFrame) -> DataFrame:
         return sizes.withColumn("quota", sampling_cap(F.col(_GROUP), other_cap).cast("bigint"))
