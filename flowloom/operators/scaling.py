@@ -24,20 +24,23 @@ def fit_bounds(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def _scaled(value: Column, low: Column, high: Column) -> Column:
-    return F.when(high == low, F.when(value.isNotNull(), F.lit(0.0))).otherwise((value - low) / (high - low))
+def _scaled(feature: str, low: float | None, high: float | None) -> Column:
+    value = F.col(feature)
+    if low is None:
+        return F.lit(None).cast("double")
+    if high == low:
+        return F.when(value.isNotNull(), F.lit(0.0))
+    return (value - F.lit(low)) / F.lit(high - low)
 
 
-def scale(df: DataFrame, bounds: DataFrame, features: Sequence[str]) -> DataFrame:
+def scale(df: DataFrame, bounds: DataFrame | Row, features: Sequence[str]) -> DataFrame:
     """Scale features in place, without clipping values outside the bounds.
 
-    The bounds enter the plan as a scalar subquery, so the whole stays one lazy plan without a join.
+    The one row of bounds is a model parameter: it is computed here and enters the plan as constants,
+    so scaling is plain arithmetic per row.
     """
-    both = bounds.select(F.struct("low", "high")).scalar()
-    with_bounds = df.withColumn("_bounds", both)
-    return with_bounds.withColumns(
-        {f: _scaled(F.col(f), F.col(f"_bounds.low.{f}"), F.col(f"_bounds.high.{f}")) for f in features}
-    ).drop("_bounds")
+    fitted = bounds.first() if isinstance(bounds, DataFrame) else bounds
+    return df.withColumns({f: _scaled(f, fitted["low"][f], fitted["high"][f]) for f in features})
 
 
 def scaling_stage(bounds: Row, features: Sequence[str], suffix: str = "_scaled") -> SQLTransformer:
