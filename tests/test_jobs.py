@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowloom import fixtures
 from flowloom.catalog import queries as catalog
 from flowloom.functions.scoring import score_by_rules
-from flowloom.operators import cleanse, routing, sampling, voting
+from flowloom.operators import routing, sampling, voting
 from flowloom.plans import training
 from flowloom.plans.scoring import decide_flows
 from flowloom.schema import AGENTS, V1, flow_table
