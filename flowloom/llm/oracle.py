@@ -1,3 +1,43 @@
 """SQL for those queries of this folder that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+#: Every distinct shingle of every document, all pairs that share one, and all that each document can reach.
+NEAR_DUPLICATES = r"""
+with recursive words as (
+    select doc_id, list_filter(
+        regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') as w
+    from documents
+), shingles as (
+    select doc_id, unnest(list_distinct(case
+        when len(w) = 0 then []
+        when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as shingle
+    from words
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    group by 1, 2
+), links as (
+    select a, b from common
+    join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * common.n >= 75 * (x.n + y.n - common.n)
+), edges as (
+    select a, b from links union all select b, a from links
+), reach as (
+    select doc_id, doc_id as other from documents
+    union
+    select reach.doc_id, edges.b from reach join edges on reach.other = edges.a
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id, d.doc_id = r.component_id as kept
+from documents d
+left join sizes s on s.doc_id = d.doc_id
+join (select doc_id, min(other) as component_id from reach group by doc_id) r on r.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_near_duplicates": NEAR_DUPLICATES,
+}

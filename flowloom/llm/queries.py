@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import packing, quality_rules, token_files
+from . import near_dup, packing, quality_rules, token_files
 from .tokens import SPACED, WORDS
 
 
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dup.find_components(_table(spark, folder, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_path(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op10_quality_rules": op10_quality_rules,
