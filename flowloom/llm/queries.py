@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import near_dup, packing, quality_rules, token_files
+from . import language_id, near_dup, packing, quality_rules, token_files
 from .tokens import SPACED, WORDS
 
 
@@ -23,6 +23,13 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    network = language_id.fit(documents.filter(~language_id.held_out()))
+    found = language_id.identify(documents, network)
+    return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_path(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op10_quality_rules": op10_quality_rules,
