@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import language_id, near_dup, packing, quality_rules, token_files
+from . import language_id, near_dup, packing, quality_rules, token_files, toxicity
 from .tokens import SPACED, WORDS
 
 
@@ -45,6 +45,17 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    machine = toxicity.fit(documents, _table(spark, folder, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(documents, machine).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     counted = write_table(quality_rules.count_texts(_table(spark, folder, "documents")), "text-counts")
     cutoffs = quality_rules.fit_cutoffs(counted, _table(spark, folder, "labels"))
@@ -58,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
