@@ -38,6 +38,65 @@ left join sizes s on s.doc_id = d.doc_id
 join (select doc_id, min(other) as component_id from reach group by doc_id) r on r.doc_id = d.doc_id
 """
 
+#: The exponent by bisection in a recursive query; the draws by running totals over whole passes, without blocks.
+MIXING = r"""
+with recursive texts as (
+    select doc_id, coalesce('s:' || source, 'n') as source_key,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n
+    from documents
+), docs as (
+    select doc_id, source_key, sum(n)::bigint as n_tokens from texts where n > 0 group by all
+), totals as (
+    select source_key, sum(n_tokens)::bigint as tokens from docs group by 1
+), shares as (
+    select sum(tokens)::bigint as total, list(tokens order by source_key) as ts from totals
+), p as (
+    select total, list_transform(ts, lambda t: t::double / total) as q from shares
+), warm as (
+    select 0 as i, 0::double as low, 1::double as high, total, q from p
+    union all
+    select i + 1, if(ok, m, low), if(ok, high, m), total, q from (
+        select *, (ln(mass) - m * list_sum(list_transform(q, lambda x: pow(x, m) * ln(x))) / mass)
+            >= 0.95 * ln(len(q)) as ok
+        from (select *, list_sum(list_transform(q, lambda x: pow(x, m))) as mass
+            from (select *, (low + high) / 2 as m from warm where i < 40)))
+), spare as (
+    select 0 as i, 0::double as low, 1::double as high, q from p
+    union all
+    select i + 1, if(ok, low, m), if(ok, m, high), q from (
+        select *, list_max(list_transform(q, lambda x: pow(x, m - 1)))
+            / list_sum(list_transform(q, lambda x: pow(x, m))) <= 4.0 as ok
+        from (select *, (low + high) / 2 as m from spare where i < 40))
+), ends as (
+    select total, q,
+        -list_sum(list_transform(q, lambda x: x * ln(x))) >= 0.95 * ln(len(q)) as as_is,
+        list_max(list_transform(q, lambda x: 1 / x)) / len(q) <= 4.0 as is_flat
+    from p
+), exponent as (
+    select total, q, greatest(
+        if(as_is, 1, (select low from warm where i = 40)),
+        if(is_flat, 0, (select high from spare where i = 40))) as a
+    from ends
+), quotas as (
+    select source_key, tokens, ceil(tokens / 100000.0)::bigint as blocks,
+        floor(total * (pow(tokens::double / total, a) / list_sum(list_transform(q, lambda x: pow(x, a)))))::bigint
+            as quota
+    from totals, exponent
+), dealt as (
+    select doc_id, source_key, n_tokens, tokens, blocks, quota, pass_no,
+        md5(pass_no || ':' || coalesce(doc_id::varchar, 'null')) as order_key
+    from (select *, unnest(range(0, (quota - 1) // tokens + 1)) as pass_no
+        from docs join quotas using (source_key) where quota > 0)
+), placed as (
+    select *, ('0x' || substr(order_key, 1, 8))::bigint * blocks // 4294967296 as block_no,
+        (pass_no * tokens + sum(n_tokens) over (partition by source_key, pass_no order by order_key) - n_tokens)::bigint
+            as tokens_before
+    from dealt
+)
+select doc_id, source_key, pass_no, block_no, n_tokens, tokens_before, quota from placed where tokens_before < quota
+"""
+
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": NEAR_DUPLICATES,
+    "op6_mixing": MIXING,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import language_id, near_dup, packing, quality_rules, token_files, toxicity
+from . import language_id, mixing, near_dup, packing, quality_rules, token_files, toxicity
 from .tokens import SPACED, WORDS
 
 
@@ -45,6 +45,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    draws, quotas = mixing.mixture(_table(spark, folder, "documents"))
+    return draws.join(quotas.select("source_key", "quota"), "source_key").select(
+        "doc_id", "source_key", "pass_no", "block_no", "n_tokens", "tokens_before", "quota"
+    )
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     machine = toxicity.fit(documents, _table(spark, folder, "labels").filter(~toxicity.held_out()))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
