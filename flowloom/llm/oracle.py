@@ -96,7 +96,19 @@ with recursive texts as (
 select doc_id, source_key, pass_no, block_no, n_tokens, tokens_before, quota from placed where tokens_before < quota
 """
 
+#: Brute force over all pairs of a query and a row, on the signs of the vectors themselves.
+CODE_SEARCH = """
+select query_id, rank, neighbor_id, distance from (
+    select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from (
+        select q.vec_id as query_id, v.vec_id as neighbor_id,
+            list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (v.embedding[i] > 0))::int))::int
+                as distance
+        from embeddings q, embeddings v where q.vec_id % 100 = 0))
+where rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op6_mixing": MIXING,
+    "op9_code_search": CODE_SEARCH,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import language_id, mixing, near_dup, packing, quality_rules, token_files, toxicity
+from . import code_search, language_id, mixing, near_dup, packing, quality_rules, revisits, token_files, toxicity
 from .tokens import SPACED, WORDS
 
 
@@ -63,6 +63,16 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return revisits.resolve(revisits.captures_of_pages(_table(spark, folder, "pages")))
+
+
+def op9_code_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    codes = write_table(vectors.select(F.col("vec_id").alias("id"), code_search.code("embedding").alias("code")), "codes")
+    return code_search.search(codes, codes.filter("id % 100 = 0"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     counted = write_table(quality_rules.count_texts(_table(spark, folder, "documents")), "text-counts")
     cutoffs = quality_rules.fit_cutoffs(counted, _table(spark, folder, "labels"))
@@ -78,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_revisits": op8_revisits,
+    "op9_code_search": op9_code_search,
     "op10_quality_rules": op10_quality_rules,
 }
