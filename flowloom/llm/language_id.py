@@ -200,23 +200,27 @@ def document_probabilities(net: Network, texts: list[str | None]) -> np.ndarray:
     return sums / np.maximum(sizes, 1)[:, None]
 
 
+def _label(net: Network | None, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text; a few hundred texts at a time keep the memory of long ones low."""
+    languages, scores = [], []
+    for at in range(0, len(column), 256):
+        texts = column.slice(at, 256).to_pylist()
+        known = [bool(net and t and _LETTER.search(t)) for t in texts]
+        if net is not None:
+            p = document_probabilities(net, [t if k else None for t, k in zip(texts, known, strict=True)])
+            best = p.argmax(axis=1)
+        for i, k in enumerate(known):
+            languages.append(net.languages[best[i]] if k else UNKNOWN)
+            scores.append(min(1.0, float(p[i, best[i]])) if k else 0.0)
+    return languages, scores
+
+
 def _predict(net: Network | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "text"]
-            languages, scores = [], []
-            # A few hundred texts at a time keep the memory of long ones low.
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column("text").slice(at, 256).to_pylist()
-                known = [bool(net and t and _LETTER.search(t)) for t in texts]
-                if net is not None:
-                    p = document_probabilities(net, [t if k else None for t, k in zip(texts, known, strict=True)])
-                    best = p.argmax(axis=1)
-                for i, k in enumerate(known):
-                    languages.append(net.languages[best[i]] if k else UNKNOWN)
-                    scores.append(min(1.0, float(p[i, best[i]])) if k else 0.0)
-            columns = [batch.column(n) for n in names] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            languages, scores = _label(net, batch.column("text"))
+            columns = [batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -264,3 +268,14 @@ def identify(documents: DataFrame, net: Network | None) -> DataFrame:
     """doc_id with lang_pred and score of every whole text."""
     kind = dict(documents.dtypes)["doc_id"]
     return documents.select("doc_id", "text").mapInArrow(_predict(net), f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_documents(documents: DataFrame, net: Network | None, least_score: float) -> DataFrame:
+    """The rows of ``documents`` (text, ...) in a learned language with at least this score; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(*_label(net, batch.column("text")), strict=True)
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -179,3 +179,23 @@ def judge(counted: DataFrame, cutoffs: dict[tuple[str | None, str], int]) -> Dat
             cutoff = F.when(F.col("lang").isNull(), F.lit(of_rule[None])).otherwise(cutoff)
         rejected = rejected | F.coalesce(_exceeds(rule, cutoff), F.lit(False))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected)
+
+
+def passes(counts: tuple[int, ...], lang: str | None, cutoffs: dict[tuple[str | None, str], int]) -> bool:
+    """The verdict of ``judge`` on the counts of one text."""
+    c = dict(zip(COUNTS, counts, strict=True))
+    if c["n_words"] < MIN_WORDS or 100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"]:
+        return False
+    found = ((c[part], c[whole], cutoffs.get((lang, rule))) for rule, (part, whole, _) in RULES.items())
+    return not any(cutoff is not None and 1000 * n > cutoff * of for n, of, cutoff in found)
+
+
+def keep_documents(documents: DataFrame, cutoffs: dict[tuple[str | None, str], int]) -> DataFrame:
+    """The rows of ``documents`` (text, lang, ...) that pass; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True)
+            yield batch.filter(pa.array([passes(text_counts(t.as_py()), lang, cutoffs) for t, lang in both], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import code_search, language_id, mixing, near_dup, packing, quality_rules, revisits, token_files, toxicity
+from . import code_search, language_id, license_scan, mixing, near_dup, packing, quality_rules, revisits, token_files, toxicity
 from .tokens import SPACED, WORDS
 
 
@@ -23,6 +23,12 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    found = license_scan.scan(documents, license_scan.fit(documents))
+    return found.withColumn("families", F.array_join("families", ","))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     network = language_id.fit(documents.filter(~language_id.held_out()))
@@ -83,6 +89,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
