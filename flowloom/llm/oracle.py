@@ -107,8 +107,67 @@ select query_id, rank, neighbor_id, distance from (
 where rank <= 10
 """
 
+#: Every revisit against all full responses of its URL, the latest of which counts.
+REVISITS = r"""
+with captures as (
+    select page_id as n, 1700000000 + page_id as seen, md5(coalesce(html, '')) as tag,
+        'day ' || ((page_id % 400) + 400) % 400 as modified, length(coalesce(html, '')) as size,
+        regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as plain
+    from pages
+), parts as (
+    select *, lower(regexp_extract(plain, '^[^/?]*')) as raw_host, regexp_replace(plain, '^[^/?]*', '') as rest
+    from captures
+), urls as (
+    select *,
+        regexp_replace(regexp_replace(regexp_replace(raw_host, '^.*@', ''), '^www[0-9]*\.', ''), ':(80|443)?$', '')
+            as host,
+        regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') as path,
+        list_sort(list_filter(string_split(regexp_replace(rest, '^[^?]*[?]?', ''), '&'),
+            lambda x: x <> '' and not regexp_full_match(lower(x), '(utm_[a-z]*|ref|fbclid|gclid)(=.*)?'))) as params
+    from parts
+), pages_in as (
+    select n, seen, tag, modified, size,
+        host || path || if(len(params) > 0, '?' || array_to_string(params, '&'), '') as url
+    from urls
+), full_responses as (
+    select 4 * n as id, url, seen, '"' || tag || '"' as etag, modified, tag as digest,
+        ['content-length: ' || size, 'content-type: text/html', 'last-modified: ' || modified] as other
+    from pages_in
+    union all
+    select 4 * n + 1, url, seen + 5000000, 'W/"2-' || tag || '"', null, md5('2' || tag), ['server: second']
+    from pages_in where n % 3 = 0
+), revisits as (
+    select 4 * n + 2 as id, url,
+        seen + case when n % 11 = 0 then -1 when n % 2 = 0 then 2000000 else 9000000 end as seen,
+        case when n % 7 = 0 then null when n % 3 = 0 and n % 2 = 1 and n % 5 <> 0 then '"2-' || tag || '"'
+            else '"' || tag || '"' end as etag,
+        case when n % 7 = 0 then modified end as modified
+    from pages_in
+), met as (
+    select v.id as record_id, v.url, f.id as referred_id, f.digest, f.etag as old_tag, f.modified as old_modified,
+        f.other, v.etag, v.modified,
+        row_number() over (partition by v.id order by f.seen desc nulls last, f.id desc) as place
+    from revisits v left join full_responses f on f.url = v.url and f.seen < v.seen
+), judged as (
+    select *, coalesce(regexp_replace(old_tag, '^W/', '') = regexp_replace(etag, '^W/', ''), old_modified = modified) as ok
+    from met where place = 1
+), stated as (
+    select *, case when referred_id is null then 'no_earlier_response' when ok then 'resolved'
+        when not ok then 'validator_mismatch' else 'no_validator' end as status
+    from judged
+)
+select record_id, url, referred_id, status,
+    if(status in ('resolved', 'no_validator'), digest, null) as payload_digest,
+    if(status in ('resolved', 'no_validator'), array_to_string(list_sort(list_concat(
+        list_filter(other, lambda x: modified is null or not starts_with(x, 'last-modified')),
+        ['cache-control: max-age=9', 'etag: ' || coalesce(etag, old_tag)],
+        if(modified is null, [], ['last-modified: ' || modified]))), chr(10)), null) as headers
+from stated
+"""
+
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op6_mixing": MIXING,
+    "op8_revisits": REVISITS,
     "op9_code_search": CODE_SEARCH,
 }

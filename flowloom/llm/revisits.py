@@ -173,7 +173,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     n = F.col("page_id")
     tag = F.md5(F.coalesce(F.col("html"), F.lit("")))
     modified = F.concat(F.lit("day "), F.pmod(n, F.lit(400)).cast("string"))
-    bare = F.regexp_replace(F.col("url"), "^[a-z]+://", "")
+    bare = F.regexp_replace(F.col("url"), "^[a-z]+://(www[.])?", "")
 
     def block(status: str, *fields: Column) -> Column:
         return F.concat_ws("\r\n", F.lit(f"HTTP/1.1 {status}"), *fields, F.lit(""))
