@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from flowloom import fixed_values as fv
 from flowloom import fixtures
+from flowloom.schema import AGENTS as DETECTORS
 from flowloom.schema import ALL_CLASSES, CANONICAL, POSITION, V1
 
 ORACLE: dict[str, str] = {}
@@ -359,15 +360,15 @@ oracle(
 _canon = f"canon as (select flow_id, dataset_version, Label, {_wide} from flows)"
 oracle(
     "q_m9_fit_bounds",
-    [FLOWS, _canon],
+    [FLOWS, _canon, *split("canon")],
     " union all ".join(
-        f"select '{f}' as feature, min({f}) as low, max({f}) as high from canon where dataset_version = 'v1'"
+        f"select '{f}' as feature, min({f}) as low, max({f}) as high from split_rows where split = 'train'"
         for f in CANONICAL
     ),
 )
 oracle(
     "q_m10_scale",
-    [FLOWS, _canon, *scaled("canon", "dataset_version = 'v1'", VIEW, "flow_id")],
+    [FLOWS, _canon, *split("canon"), *scaled("split_rows", "split = 'train'", VIEW, "flow_id")],
     "select * from scaled_rows",
 )
 oracle(
@@ -725,3 +726,77 @@ oracle(
          select *, row_number() over (partition by run_id order by end_time desc, step desc) as recency
          from log where err is not null) where recency <= 3""",
 )
+
+
+# --- trained detectors: what must hold whatever they learn ------------------------------------------------------
+_test_flows = f"""test_flows as (
+  select * from flows where ('0x' || substr({KEY}, 1, 8))::bigint / 4294967296::double < 0.2::double)"""
+
+
+def _constants(names, *columns: str) -> str:
+    return " union all ".join(f"select {', '.join([text(n) + ' as agent', *columns])}" for n in names)
+
+
+_learned = ("true as bounded", "true as better_than_constant")
+for _name, _kind in {
+    "q_l1_boosted_trees": "xgboost", "q_l2_random_forests": "random_forest", "q_l3_neural": "lstm",
+    "q_l4_reconstruction": "autoencoder", "q_l6_train_all": None,
+}.items():
+    ORACLE[_name] = _constants([a.name for a in DETECTORS if _kind in (None, a.model_type)], *_learned)
+oracle(
+    "q_s6_saved_models",
+    [FLOWS, _test_flows],
+    _constants(
+        [a.name for a in DETECTORS], "true as loaded", "(select count(*) from test_flows) as n_rows", "0::bigint as n_differ"
+    ),
+)
+oracle(
+    "q_e1_model_votes",
+    [*BASE, _test_flows, "judging as (select flow_id, string_agg(agent, ',' order by idx) as agents from votes group by 1)"],
+    """select flow_id, Attack, coalesce(agents, '') as participating, true as votes_sound, true as decision_sound
+       from test_flows left join judging using (flow_id)""",
+)
+ORACLE["q_x1_global_importance"] = " union all ".join(
+    f"select {text(a.name)} as agent, {len(a.features)}::bigint as n_features, true as none_below_0, true as sum_is_1"
+    for a in DETECTORS
+    if a.model_type in ("random_forest", "xgboost")
+)
+ORACLE["q_x3_sampled_shapley"] = "select true as any_flagged, true as all_sums_exact"
+
+# --- further forms -------------------------------------------------------------------------------------------------
+oracle(
+    "q_s1_ingest",
+    [FLOWS],
+    """select Attack, count(*) as n_rows, count(*) as n_ids from flows
+       where L4_SRC_PORT is null or L4_SRC_PORT::bigint % 97 <> 0 group by 1
+       union all select '(quarantine)', count(*), 0 from flows where L4_SRC_PORT::bigint % 97 = 0""",
+)
+oracle(
+    "q_m11_smart",
+    [
+        FLOWS,
+        _both,
+        capped("both_complete"),
+        f"""sample as (select flow_id, Attack, Label, {", ".join(f"coalesce({f}, 0.0::double) as {f}" for f in VIEW)}
+            from capped order by {KEY} limit {fv.SMART_SAMPLE_SIZE})""",
+        *split("sample"),
+        *scaled("split_rows", "split = 'train'", VIEW, "flow_id, Attack, Label, split"),
+    ],
+    "select * from scaled_rows",
+)
+oracle(
+    "q_m11_table",
+    [FLOWS, _complete, *split("complete")],
+    "select flow_id, Attack from split_rows where split = 'test'",
+)
+# Without the last detector's model; flows that only it was to judge are undecided and not explained.
+_few_votes = [VOTES.replace("votes as (", "all_votes as (", 1), "votes as (select * from all_votes where idx <> 7)"]
+oracle(
+    "q_x12_missing_model",
+    [
+        FLOWS, ALIASES, AGENTS, NAMED, *_few_votes, tally("votes", "flow_id"), DECIDED, _weights, _cells, _values, _tops,
+        _combined, _briefings,
+    ],
+    """select b.flow_id, briefing, coalesce(n, 0)::int as n_explained from briefings b
+       left join (select flow_id, count(*) as n from votes group by 1) using (flow_id)""",
+)

@@ -78,10 +78,32 @@ def spoilt_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_s1_csv_source")
 def csv_source(spark, sf_dir):
+    """Two sets of files that order their columns differently, one of them with further columns."""
     path = scratch_path(spark, "flows-csv")
-    rows = fixtures.flows(spark, sf_dir).select("flow_id", *RAW)
-    rows.write.option("header", True).option("compression", "gzip").csv(path)
-    return flow_source.read_csv(spark, path, flow_table(V1, identified=True))
+    rows = fixtures.flows(spark, sf_dir)
+    plain = rows.filter("dataset_version = 'v1'").select("flow_id", *RAW)
+    other = rows.filter("dataset_version <> 'v1'").withColumn("Dataset", F.lit("x"))
+    other = other.select("Label", "Attack", "Dataset", *reversed(V1), "MIN_TTL", *[c for c in RAW[:4]], "flow_id")
+    for label, table in (("plain", plain), ("other", other)):
+        table.write.option("header", True).option("compression", "gzip").csv(f"{path}/{label}")
+    return flow_source.read_csv(spark, [f"{path}/plain", f"{path}/other"], flow_table(V1, identified=True))
+
+
+@query("q_s1_ingest")
+def ingest(spark, sf_dir):
+    """A partitioned table made from CSV with spoilt lines: rows, identities and quarantined lines per class."""
+    path = scratch_path(spark, "ingest")
+    rows = fixtures.flows(spark, sf_dir).select(*RAW)
+    # A port that is no number spoils a line.
+    spoilt = F.when(F.col("L4_SRC_PORT") % 97 == 0, F.lit("none")).otherwise(F.col("L4_SRC_PORT").cast("string"))
+    rows.withColumn("L4_SRC_PORT", spoilt).write.option("header", True).csv(f"{path}/csv")
+    table = flow_source.ingest_csv(
+        spark, f"{path}/csv", f"{path}/table", flow_table(V1), f"{path}/quarantine", partition_by=["Attack"]
+    )
+    kept = table.groupBy("Attack").agg(F.count("*").alias("n_rows"), F.countDistinct("flow_id").alias("n_ids"))
+    bad = spark.read.parquet(f"{path}/quarantine").agg(F.count("*").alias("n_rows"))
+    bad = bad.select(F.lit("(quarantine)").alias("Attack"), "n_rows", F.lit(0).cast("long").alias("n_ids"))
+    return kept.unionByName(bad)
 
 
 @query("q_s2_first_rows")
@@ -119,12 +141,26 @@ def test_classes(spark, sf_dir):
 @query("q_s6_saved_models")
 def saved_models(spark, sf_dir):
     train, test = ml_rows(spark, sf_dir)
-    few = [a for a in AGENTS if a.model_type in ("autoencoder", "random_forest")]
     path = scratch_path(spark, "models")
-    training.train_all(train, few).save(path)
+    registry = training.train_all(train)
+    registry.save(path)
     loaded = training.Registry.load(path)
-    table = agent_table(spark).select("agent", F.col("agent").isin(*loaded.models).alias("loaded"))
-    return table.join(training.evaluate(loaded, test), "agent", "left")
+    # Saved models give what those in memory give: (detector, loaded, test rows, rows with another score).
+    both = [r.score(test) for r in (registry, loaded)]
+    outputs = [c for a in AGENTS for c in (a.prediction, a.confidence)]
+    old, new = (write_table(b.select("flow_id", *outputs), "saved-scores") for b in both)
+    new = new.select("flow_id", *[F.col(c).alias(f"new_{c}") for c in outputs])
+    differ = [
+        F.count_if(~F.col(a.prediction).eqNullSafe(F.col(f"new_{a.prediction}"))
+                   | ~F.col(a.confidence).eqNullSafe(F.col(f"new_{a.confidence}"))).alias(f"d{i}")
+        for i, a in enumerate(AGENTS)
+    ]
+    counts = old.join(new, "flow_id").agg(F.count("*").alias("n_rows"), *differ)
+    cells = [
+        F.struct(F.lit(a.name).alias("agent"), F.lit(a.name in loaded.models).alias("loaded"), F.col("n_rows"), F.col(f"d{i}").alias("n_differ"))
+        for i, a in enumerate(AGENTS)
+    ]
+    return counts.select(F.inline(F.array(*cells)))
 
 
 @query("q_s7_report")
@@ -312,9 +348,12 @@ def sampling_groups(spark, sf_dir):
 @query("q_j1_agent_catalogue")
 def agent_catalogue(spark, sf_dir):
     """The detectors, with the flows recorded in their dataset version."""
-    per_version = fixtures.flows(spark, sf_dir).groupBy("dataset_version").agg(F.count("*").alias("n"))
-    whole = per_version.groupBy().agg(F.lit("both").alias("dataset_version"), F.sum("n").alias("n"))
-    sizes = per_version.unionByName(whole)
+    versions = fixtures.flows(spark, sf_dir).agg(
+        *[F.count_if(F.col("dataset_version") == v).alias(v) for v in ("v1", "v2")],
+        F.count("dataset_version").alias("both"),
+    )
+    cells = [F.struct(F.lit(v).alias("dataset_version"), F.col(v).alias("n")) for v in ("v1", "v2", "both")]
+    sizes = versions.select(F.inline(F.array(*cells)))
     return (
         agent_table(spark)
         .join(sizes, "dataset_version", "left")
@@ -457,19 +496,38 @@ def aligned(spark, sf_dir) -> DataFrame:
 
 @query("q_m9_fit_bounds")
 def fit_bounds(spark, sf_dir):
-    bounds = scaling.fit_bounds(aligned(spark, sf_dir).filter("dataset_version = 'v1'"), CANONICAL)
-    sides = [bounds.select(F.col(f"{s}.*")).unpivot([], list(CANONICAL), "feature", s) for s in ("low", "high")]
-    return sides[0].join(sides[1], "feature")
+    split = sampling.stratified_split(aligned(spark, sf_dir), "flow_id")
+    bounds = scaling.fit_bounds(split.filter("split = 'train'"), CANONICAL)
+    cells = [
+        F.struct(F.lit(f).alias("feature"), F.col("low")[f].alias("low"), F.col("high")[f].alias("high")) for f in CANONICAL
+    ]
+    return bounds.select(F.inline(F.array(*cells)))
 
 
 @query("q_m10_scale")
 def scale(spark, sf_dir):
-    rows = aligned(spark, sf_dir)
+    rows = sampling.stratified_split(aligned(spark, sf_dir), "flow_id")
     features = [*V1, *fixtures.VIEW_V2_FEATURES]
-    bounds = scaling.fit_bounds(rows.filter("dataset_version = 'v1'"), features)
+    bounds = scaling.fit_bounds(rows.filter("split = 'train'"), features)
     return scaling.scale(rows.select("flow_id", *features), bounds, features)
 
 
+@query("q_m11_smart")
+def prepared_smart(spark, sf_dir):
+    tables = [of_version(spark, sf_dir, v) for v in ("v1", "v2")]
+    rows = prepare.prepare_smart(*tables, "flow_id")
+    return rows.select("flow_id", "Attack", "Label", "split", *V1, *fixtures.VIEW_V2_FEATURES)
+
+
+@query("q_m11_table")
+def prepared_table(spark, sf_dir):
+    """From a written table to files: the classes of its test rows, read back."""
+    path = scratch_path(spark, "prepare")
+    fixtures.flows(spark, sf_dir).write.parquet(f"{path}/flows")
+    prepare.prepare_table(spark, f"{path}/flows", "flow_id", f"{path}/out")
+    return sinks.read_test_classes(spark, f"{path}/out/test-classes")
+
+
 @query("q_m11_prepare")
 def prepared(spark, sf_dir):
     return prepare.prepare(fixtures.flows(spark, sf_dir), "flow_id")
@@ -505,11 +563,8 @@ def confusion(spark, sf_dir):
 
 @query("q_a6_quality")
 def quality(spark, sf_dir):
-    rows = scored(spark, sf_dir, "Label")
-    agents = metrics.quality(metrics.agent_confusion(rows))
-    ensemble = voting.vote(rows).withColumn("decision", metrics.decision_label(F.col("prediction")))
-    whole = metrics.quality(metrics.confusion(ensemble, prediction="decision"))
-    return agents.unionByName(whole.withColumn("agent", F.lit("ensemble")))
+    rows = voting.vote(scored(spark, sf_dir, "Label"))
+    return metrics.quality(metrics.agent_confusion(rows, ensemble=metrics.decision_label(F.col("prediction"))))
 
 
 @query("q_a7_detection_rate")
@@ -535,7 +590,21 @@ def ml_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def trained_quality(spark, sf_dir, model_type: str) -> DataFrame:
     agents = [a for a in AGENTS if a.model_type == model_type]
     train, test = ml_rows(spark, sf_dir)
-    return training.evaluate(training.train_all(train, agents), test, agents)
+    return learned(training.evaluate(training.train_all(train, agents), test, agents))
+
+
+def learned(quality: DataFrame) -> DataFrame:
+    """Figures of trained detectors as what must hold whatever they learned.
+
+    ``better_than_constant``: finds more of the anomalies than it mistakes of the benign flows.
+    """
+    figures = ("accuracy", "precision", "recall", "f1_score")
+    bounded = F.lit(True)
+    for name in figures:
+        bounded = bounded & F.coalesce(F.col(name).between(0, 1), F.lit(False))
+    found = F.col("tp") / (F.col("tp") + F.col("fn"))
+    mistaken = F.col("fp") / (F.col("fp") + F.col("tn"))
+    return quality.select("agent", bounded.alias("bounded"), F.coalesce(found > mistaken, F.lit(False)).alias("better_than_constant"))
 
 
 @query("q_l1_boosted_trees")
@@ -577,16 +646,27 @@ def train_all(spark, sf_dir):
     path = scratch_path(spark, "registry")
     registry.save(f"{path}/models")
     sinks.write_report(training.evaluate(registry, test), f"{path}/report")
-    return spark.read.parquet(f"{path}/report")
+    return learned(spark.read.parquet(f"{path}/report"))
 
 
 @query("q_e1_model_votes")
 def model_votes(spark, sf_dir):
-    agents = [a for a in AGENTS if a.model_type != "lstm"]
+    """Every test flow with its participants, and whether all votes and the decision are within their bounds."""
     train, test = ml_rows(spark, sf_dir)
-    registry = training.train_all(train, agents)
-    rows = registry.score(routing.route(test, "attack_hint"))
-    return voting.vote(rows).select("flow_id", "Attack", "prediction", "confidence", "vote_benign", "vote_anomaly")
+    registry = training.train_all(train)
+    rows = voting.vote(registry.score(routing.route(test, "attack_hint")))
+    sound = F.lit(True)
+    for a in AGENTS:
+        sound = sound & F.coalesce(F.col(a.prediction).isin(0, 1) & F.col(a.confidence).between(0, 1), F.lit(False))
+    decision = F.col("prediction").isin("benign", "anomaly") & F.col("confidence").between(0, 1)
+    nobody = (F.size(routing.participating()) == 0) & (F.col("prediction") == "unknown")
+    return rows.select(
+        "flow_id",
+        "Attack",
+        listed(routing.participating()).alias("participating"),
+        sound.alias("votes_sound"),
+        (decision | nobody).alias("decision_sound"),
+    )
 
 
 @query("q_e2_default_confidence")
@@ -702,17 +782,21 @@ def flagship(spark, sf_dir):
 
 def explained(spark, sf_dir) -> DataFrame:
     """Decided flows with their explanations per detector and the combined one."""
-    routed = {a.name: F.col(a.routed) for a in AGENTS}
-    rows = attribution.explain(decided(spark, sf_dir), fixtures.linear_explainers(), routed)
+    rows = attribution.explain(decided(spark, sf_dir), fixtures.linear_explainers(), voting.cast_votes())
     return attribution.combine(rows)
 
 
 @query("q_x1_global_importance")
 def global_importance(spark, sf_dir):
-    agents = [a for a in AGENTS if a.model_type == "random_forest"]
+    """Of each tree detector: its features, and whether their importances are no less than 0 and sum to 1."""
+    agents = [a for a in AGENTS if a.model_type in ("random_forest", "xgboost")]
     train, _ = ml_rows(spark, sf_dir)
     long = training.global_importance(spark, training.train_all(train, agents), agents)
-    return attribution.top_rows(long, ["agent"])
+    return long.groupBy("agent").agg(
+        F.count("*").alias("n_features"),
+        (F.min("importance") >= 0).alias("none_below_0"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_1"),
+    )
 
 
 @query("q_x2_linear_attribution")
@@ -729,9 +813,19 @@ def sampled_shapley(spark, sf_dir):
     registry = training.train_all(train, [agent])
     judged = registry.score(routing.route(test, agents=[agent]), [agent])
     flagged = judged.filter(F.col(agent.prediction) == 1).select("flow_id", *V1)
-    background = sampling.background_sample(train, "flow_id")
-    return attribution.sampled_shapley(
-        flagged, "flow_id", V1, lambda rows: registry.probability(agent, rows), background, permutations=10
+    flagged = write_table(flagged, "flagged")
+    background = write_table(sampling.background_sample(train, "flow_id").select("flow_id", *V1), "background")
+    values = attribution.sampled_shapley(
+        flagged, "flow_id", V1, lambda rows: registry.probability(agent, rows), background
+    )
+    # The values of a flow sum to its score less the mean score of the background.
+    mean = registry.probability(agent, background).agg(F.avg("score").alias("mean")).first()["mean"]
+    sums = values.groupBy("flow_id").agg(F.sum("shap_value").alias("total"), F.count("*").alias("n"))
+    checked = registry.probability(agent, flagged).join(sums, "flow_id", "left")
+    exact = (F.abs(F.col("total") - F.col("score") + F.lit(mean)) < 1e-9) & (F.col("n") == len(V1))
+    return checked.agg(
+        (F.count("*") > 0).alias("any_flagged"),
+        F.coalesce(F.bool_and(F.coalesce(exact, F.lit(False))), F.lit(True)).alias("all_sums_exact"),
     )
 
 
@@ -806,6 +900,16 @@ def briefings(spark, sf_dir):
     return explained(spark, sf_dir).select("flow_id", words.alias("briefing"))
 
 
+@query("q_x12_missing_model")
+def briefings_without_model(spark, sf_dir):
+    """With one detector's model missing, flows that only it may judge have no vote and so no explanation."""
+    loaded = [a.name for a in AGENTS[:-1]]
+    rows = voting.vote(voting.mask_missing(scored(spark, sf_dir), loaded))
+    rows = attribution.combine(attribution.explain(rows, fixtures.linear_explainers(), voting.cast_votes()))
+    words = text.briefing(F.col("prediction"), F.col("confidence"), F.col("explained"))
+    return rows.select("flow_id", words.alias("briefing"), F.size("explanations").alias("n_explained"))
+
+
 @query("q_x13_answers")
 def answers(spark, sf_dir):
     turns = fixtures.table(spark, sf_dir, "conversations")

@@ -93,9 +93,9 @@ def feature_counts(bits: Column) -> tuple[Column, Column]:
     return present, F.lit(len(CANONICAL)) - present
 
 
-def common_numeric_features(left: DataFrame, right: DataFrame) -> list[str]:
-    """Sorted names of the columns that are numeric in both tables and can be features."""
-    reserved = {*fv.ADDRESS_COLUMNS, fv.ATTACK_COLUMN, fv.LABEL_COLUMN, fv.DATASET_COLUMN}
+def common_numeric_features(left: DataFrame, right: DataFrame, identity: str | None = None) -> list[str]:
+    """Sorted names of the columns that are numeric in both tables and can be features; an identity can't."""
+    reserved = {identity, *fv.ADDRESS_COLUMNS, fv.ATTACK_COLUMN, fv.LABEL_COLUMN, fv.DATASET_COLUMN}
 
     def numeric(df: DataFrame) -> set[str]:
         return {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}

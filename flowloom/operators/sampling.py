@@ -4,8 +4,9 @@ To take the k rows of a group with the smallest order keys, ranking the group wo
 rows into one task. Instead the keys are counted by a short prefix, which combines well before the
 shuffle, and the running count names the bucket in which the k-th row lies. Only the rows of those
 buckets (1 in 256) are looked at again, counted by a longer prefix, and only the rows of the bucket
-found then (1 in a million) are ranked. The k-th key is a cut: the selection is a filter on the
-full table, which is never shuffled. Helper tables have at most 256, then 4,096 rows per group.
+found then (1 in a million) are ranked. The k-th key is a cut: one short text per group, which enters
+the plan as a constant, so selecting is a filter on the full table, without a join or a shuffle, whatever
+the planner's settings. There may be at most ``MAX_GROUPS`` groups.
 
 Row identities must be unique; copies of one row need identities of their own
 (``sources.flows.with_row_identity`` gives them).
@@ -25,6 +26,10 @@ from flowloom.session import write_table
 
 _GROUP, _KEY, _BUCKET, _CUT = "_group", "_key", "_bucket", "_cut"
 _COARSE, _FINE = 2, 5  # hexadecimal digits of the order key
+#: Groups whose cuts fit a plan as constants.
+MAX_GROUPS = 10_000
+
+_EVERYTHING = "*"  # the one group of a table that is sampled as a whole
 
 QuotaRule = Callable[[DataFrame], DataFrame]
 
@@ -44,45 +49,64 @@ def _edges(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _inside(keyed: DataFrame, edges: DataFrame, digits: int) -> DataFrame:
-    """The rows in the buckets of the edges: (_group, _key, nth)."""
-    same_bucket = F.substring(_KEY, 1, digits) == F.col("_b")
-    return keyed.join(edges, F.col(_GROUP).eqNullSafe(F.col("_g")) & same_bucket).select(_GROUP, _KEY, "nth")
+def _constants(table: DataFrame, group: str, value: str) -> dict:
+    """A small table (group, value) as constants."""
+    rows = table.select(group, value).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to sample from")
+    return {r[group]: r[value] for r in rows}
+
+
+def _of_group(group: Column, constants: dict) -> Column:
+    """The constant of a row's group, null for other groups."""
+    named = {g: v for g, v in constants.items() if g is not None}
+    value = F.lit(None).cast("string")
+    if list(constants) == [_EVERYTHING]:
+        return F.lit(constants[_EVERYTHING])
+    if named:
+        pairs = [F.lit(x) for g, v in named.items() for x in (str(g), v)]
+        value = F.try_element_at(F.create_map(*pairs), group.cast("string"))
+    if None in constants:
+        value = F.when(group.isNull(), F.lit(constants[None])).otherwise(value)
+    return value
 
 
-def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED) -> DataFrame:
-    """Per group the order key of its k-th row: a table (_group, _cut), without groups whose k is 0.
+def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED) -> dict:
+    """Per group the order key of its k-th row, without groups whose k is 0.
 
     ``quota`` maps a table (_group, n) of group sizes to one with an added column ``quota``.
     """
-    keyed = df.select(group.alias(_GROUP), hash_order(F.col(identity), seed).alias(_KEY))
+    keyed = df.select(group.cast("string").alias(_GROUP), hash_order(F.col(identity), seed).alias(_KEY))
     coarse = write_table(_histogram(keyed, _COARSE), "key-histogram")
     wanted = quota(coarse.groupBy(_GROUP).agg(F.sum("n").alias("n"))).select(
         F.col(_GROUP).alias("_g"), F.least("quota", "n").alias("nth")
     )
     edges = write_table(_edges(coarse, wanted), "cut-buckets")
-    near = write_table(_inside(keyed, edges, _COARSE), "near-cuts")
-    fine = _edges(_histogram(near, _FINE), edges.select("_g", "nth"))
+    bucket = _of_group(F.col(_GROUP), _constants(edges, "_g", "_b"))
+    near = write_table(keyed.filter(F.substring(_KEY, 1, _COARSE) == bucket), "near-cuts")
+    fine = write_table(_edges(_histogram(near, _FINE), edges.select("_g", "nth")), "fine-buckets")
+    bucket = _of_group(F.col(_GROUP), _constants(fine, "_g", "_b"))
     rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_KEY))
-    cuts = _inside(near.select(_GROUP, _KEY), fine, _FINE).withColumn("rank", rank).filter("rank = nth")
-    return write_table(cuts.select(_GROUP, F.col(_KEY).alias(_CUT)), "cut-keys")
+    last = near.filter(F.substring(_KEY, 1, _FINE) == bucket).withColumn("rank", rank)
+    cuts = last.join(fine, F.col(_GROUP).eqNullSafe(F.col("_g"))).filter("rank = nth")
+    return _constants(cuts, _GROUP, _KEY)
+
+
+def _within(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int) -> Column:
+    cut = _of_group(group, cut_keys(df, group, identity, quota, seed))
+    return F.coalesce(hash_order(F.col(identity), seed) <= cut, F.lit(False))
 
 
 def mark_selected(
     df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED, flag: str = "selected"
 ) -> DataFrame:
     """Add a boolean column that is true for exactly the quota of each group."""
-    cuts = cut_keys(df, group, identity, quota, seed).withColumnRenamed(_GROUP, "_g")
-    joined = df.join(cuts, group.eqNullSafe(F.col("_g")), "left")
-    chosen = F.coalesce(hash_order(F.col(identity), seed) <= F.col(_CUT), F.lit(False))
-    return joined.withColumn(flag, chosen).drop("_g", _CUT)
+    return df.withColumn(flag, _within(df, group, identity, quota, seed))
 
 
 def _selected(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int) -> DataFrame:
     """Only the quota of each group."""
-    cuts = cut_keys(df, group, identity, quota, seed).withColumnRenamed(_GROUP, "_g")
-    within = hash_order(F.col(identity), seed) <= F.col(_CUT)
-    return df.join(cuts, group.eqNullSafe(F.col("_g")) & within, "left_semi")
+    return df.filter(_within(df, group, identity, quota, seed))
 
 
 def sample_by_ratio(
@@ -101,7 +125,7 @@ def sample_by_ratio(
 
 def sample_rows(df: DataFrame, n: int, identity: str, seed: int = fv.SEED) -> DataFrame:
     """Exactly n rows of a table, or all of them if it has fewer."""
-    return _selected(df, F.lit(0), identity, lambda sizes: sizes.withColumn("quota", F.lit(n).cast("bigint")), seed)
+    return _selected(df, F.lit(_EVERYTHING), identity, lambda sizes: sizes.withColumn("quota", F.lit(n).cast("bigint")), seed)
 
 
 def sample_by_class(df: DataFrame, identity: str, other_cap: int = 0, seed: int = fv.SEED) -> DataFrame:

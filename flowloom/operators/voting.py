@@ -123,6 +123,14 @@ def collapse_requests(scored: DataFrame, request: str, order: str, agents: Seque
     return scored.groupBy(request).agg(*columns)
 
 
+def cast_votes(agents: Sequence[Agent] = AGENTS) -> dict[str, Column]:
+    """Per detector whether it takes part in the decision on a flow: routed, with a model and a valid vote."""
+    return {
+        a.name: F.coalesce(F.col(a.routed) & is_valid_vote(F.col(a.prediction), F.col(a.confidence)), F.lit(False))
+        for a in agents
+    }
+
+
 def detected_type(hint: Column, prediction: Column) -> Column:
     """The hint for an anomaly, null for an undecided flow, otherwise Benign."""
     return (

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from flowloom import fixed_values as fv
 from flowloom.operators import sampling
 from flowloom.operators.cleanse import align, common_numeric_features, drop_incomplete, features_and_label, tag_version
 from flowloom.operators.scaling import fit_bounds, scale
+from flowloom.operators.profile import profile
 from flowloom.schema import CANONICAL, V1
+from flowloom.session import write_table
+from flowloom.sources.flows import first_rows
+from flowloom.sources.sinks import write_test_classes
 
 
 def split_and_scale(
     df: DataFrame, features: Sequence[str], identity: str, test_share: float = fv.TEST_SHARE, seed: int = fv.SEED
 ) -> DataFrame:
-    """Stratified split by label, then scaling of all rows by the bounds of the training rows."""
-    split = sampling.stratified_split(df, identity, fv.LABEL_COLUMN, test_share, seed)
+    """Stratified split by label, then scaling of all rows by the bounds of the training rows.
+
+    The split rows are written, since both the bounds and the result read them.
+    """
+    split = write_table(sampling.stratified_split(df, identity, fv.LABEL_COLUMN, test_share, seed), "split-rows")
     bounds = fit_bounds(split.filter("split = 'train'"), features)
     return scale(split, bounds, features)
 
@@ -40,14 +47,14 @@ def mix(
     seed: int = fv.SEED,
 ) -> DataFrame:
     """Two dataset versions mixed by share on their common numeric features, split and scaled."""
-    features = common_numeric_features(v1, v2)
+    features = common_numeric_features(v1, v2, identity)
     columns = [identity, *features, fv.ATTACK_COLUMN, fv.LABEL_COLUMN]
     complete = [
         tag_version(drop_incomplete(df).select(*columns), version) for df, version in ((v1, "v1"), (v2, "v2"))
     ]
     shares = {"v1": v1_share, "v2": 1 - v1_share}
     sampled = sampling.sample_by_ratio(sampling.union_versions(*complete), "dataset_version", shares, identity, seed)
-    return split_and_scale(sampled, features, identity, test_share, seed)
+    return split_and_scale(write_table(sampled, "mixed-rows"), features, identity, test_share, seed)
 
 
 def smart_sample(
@@ -60,19 +67,32 @@ def smart_sample(
 ) -> DataFrame:
     """Both versions together, capped per class and as a whole, aligned to the canonical features."""
     both = sampling.union_versions(drop_incomplete(v1), drop_incomplete(v2))
-    capped = sampling.sample_by_class(both, identity, other_cap, seed)
-    if _largest_sample(other_cap) is None or _largest_sample(other_cap) > target:
-        capped = sampling.sample_rows(capped, target, identity, seed)
-    return align(capped, [identity, fv.ATTACK_COLUMN, fv.LABEL_COLUMN])
-
-
-def _largest_sample(other_cap: int) -> int | None:
-    """The most rows the class caps let through; unbounded when other classes are admitted."""
-    if other_cap:
-        return None
-    return len(fv.RARE_CLASSES) * fv.RARE_CAP + len(fv.COMMON_CLASSES) * fv.COMMON_CAP + fv.BENIGN_CAP
+    capped = write_table(sampling.sample_by_class(both, identity, other_cap, seed), "capped-rows")
+    return align(sampling.sample_rows(capped, target, identity, seed), [identity, fv.ATTACK_COLUMN, fv.LABEL_COLUMN])
 
 
 def prepare_smart(v1: DataFrame, v2: DataFrame, identity: str, **options) -> DataFrame:
     """The class-capped sample of both versions over all canonical features, split and scaled."""
-    return split_and_scale(smart_sample(v1, v2, identity, **options), CANONICAL, identity)
+    sample = write_table(smart_sample(v1, v2, identity, **options), "smart-sample")
+    return split_and_scale(sample, CANONICAL, identity)
+
+
+def prepare_table(
+    spark: SparkSession,
+    path: str,
+    identity: str,
+    target: str,
+    limit: int | None = None,
+    features: Sequence[str] = V1,
+) -> DataFrame:
+    """The whole preparation of one parquet table of flows, from its first ``limit`` rows to files below ``target``.
+
+    ``profile`` has the figures of what was read, ``test-classes`` the classes of the test rows, and ``rows``, which is
+    returned, the split and scaled rows.
+    """
+    table = spark.read.parquet(path) if limit is None else first_rows(spark, path, limit)
+    profile(table).write.parquet(f"{target}/profile")
+    prepare(table, identity, features).write.parquet(f"{target}/rows")
+    rows = spark.read.parquet(f"{target}/rows")
+    write_test_classes(rows, f"{target}/test-classes", identity)
+    return rows

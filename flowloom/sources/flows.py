@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,30 +15,94 @@ from pyspark.sql import types as T
 from flowloom.schema import CANONICAL, flow_table
 from flowloom.session import write_table
 
+#: Column with the text of a line that has a value of another kind than its column; else null.
+MALFORMED = "_malformed"
+_READERS = 16
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header; of every file only the first line is read."""
+    files = spark.read.text(path).inputFiles()
+
+    def header(file: str) -> tuple[str, ...]:
+        first = spark.read.text(file).head(1)
+        return tuple(n.strip() for n in next(csv.reader([first[0].value]))) if first and first[0].value else ()
+
+    with ThreadPoolExecutor(_READERS) as pool:
+        found = list(pool.map(header, files))
+    by_header = defaultdict(list)
+    for file, names in zip(files, found):
+        if names:
+            by_header[names].append(file)
+    return dict(by_header)
+
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, partitions: int | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | None = None,
+    partitions: int | None = None,
+    keep_malformed: bool = False,
 ) -> DataFrame:
-    """Flow CSV with a header, plain or gzip, with an explicit schema.
+    """Flow CSV with headers, plain or gzip, with the columns of an explicit schema.
 
-    A gzip file is read by one task; ``partitions`` spreads its rows for the work that follows.
+    Columns are found by their names in the header of each file, so files may order them differently; a
+    column that a file lacks is null, further ones are left out. A value that doesn't fit its column is
+    null, and ``keep_malformed`` adds ``MALFORMED`` with the text of such lines. A gzip file is read by one task;
+    ``partitions`` spreads its rows for the work that follows.
     """
-    df = spark.read.schema(schema or flow_table(CANONICAL)).option("header", True).csv(path)
+    schema = schema or flow_table(CANONICAL)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    parts = []
+    for names, files in _headers(spark, path).items():
+        fields, seen = [], set()
+        for i, name in enumerate(names):
+            known = name in kinds and name not in seen
+            fields.append(T.StructField(name if known else f"_other_{i}", kinds[name] if known else T.StringType()))
+            seen.add(name)
+        fields.append(T.StructField(MALFORMED, T.StringType()))
+        reader = spark.read.schema(T.StructType(fields)).option("header", True)
+        rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).csv(files)
+        columns = [F.col(n) if n in seen else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+        parts.append(rows.select(*columns, MALFORMED))
+    whole = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    df = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], whole)
+    df = df if keep_malformed else df.drop(MALFORMED)
     return df.repartition(partitions) if partitions else df
 
 
-def ingest_csv(spark: SparkSession, source: str, target: str, schema: T.StructType | None = None) -> DataFrame:
-    """Turn flow CSV into parquet, the layout all further work should read, with row identities."""
-    read_csv(spark, source, schema).write.mode("errorifexists").parquet(target)
-    return with_row_identity(spark.read.parquet(target))
+def ingest_csv(
+    spark: SparkSession,
+    source: str | Sequence[str],
+    target: str,
+    schema: T.StructType | None = None,
+    quarantine: str | None = None,
+    partition_by: Sequence[str] = (),
+) -> DataFrame:
+    """Turn flow CSV into parquet, the layout all further work should read, with row identities.
+
+    Lines with a value of another kind go to the parquet table ``quarantine``, if one is named, instead: what could be
+    read of them and, as ``MALFORMED``, their text.
+    """
+    rows = read_csv(spark, source, schema, keep_malformed=True)
+    if quarantine:
+        # All columns are written: the reader only checks those that are asked for.
+        rows.filter(F.col(MALFORMED).isNotNull()).write.mode("errorifexists").parquet(quarantine)
+        rows = rows.filter(F.col(MALFORMED).isNull())
+    rows.drop(MALFORMED).write.mode("errorifexists").partitionBy(*partition_by).parquet(target)
+    return with_row_identity(spark.read.parquet(target), target)
 
 
-def with_row_identity(table: DataFrame, name: str = "flow_id") -> DataFrame:
-    """Add an identity per row of a parquet table from its file and its place there.
+def with_row_identity(table: DataFrame, root: str, name: str = "flow_id") -> DataFrame:
+    """Add an identity per row of the parquet table in ``root`` from its file's path below it and its place there.
 
-    Copies of a row get different identities, and the same row always gets the same one.
+    Copies of a row get different identities, also in tables partitioned into folders, and the same row
+    always gets the same one.
     """
-    place = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
+    file, folder = F.col("_metadata.file_path"), root.split(":", 1)[-1].strip("/").rsplit("/", 1)[-1]
+    # What follows the last folder of the root; folders of partitions don't repeat its name.
+    below = F.substring_index(file, f"/{folder}/", -1)
+    place = F.concat_ws(":", below, F.col("_metadata.row_index").cast("string"))
     return table.withColumn(name, F.md5(place))
 
 
