@@ -7,11 +7,13 @@ alike than two independent ones would, which lowers the variance. ``ROWS`` value
 share a band are candidates. At the linking similarity of 0.75 a pair shares none of the bands with
 probability (1 - 0.75**6)**72, under one in a million.
 
-Candidates of a band are not paired with each other but with hubs: first the least class of the band, then,
-in bands whose classes still lie in different components, the next ``HUBS`` in order, until every pair
-of a band is either in one component or was compared. So a band of thousands of copies costs one comparison each.
-A comparison brings the members' whole texts to their hub, large groups in portions, and counts common shingles
-exactly: a link needs 100 * intersection >= 75 * union. Components grow by alternating stars.
+Candidates of a band are not paired with each other but with a hub, the class that shares the most bands with
+others: in a group of copies that is one with few edits, to which nearly all are linked. Such pairs bring the members' whole texts to
+their hub, large groups in portions, and count common shingles exactly: a link needs 100 * intersection >= 75 * union.
+Components of links grow by alternating stars. Bands whose classes still lie in different components are then
+searched in full: blocks of their classes compare signatures, one byte per value, of classes in different
+components only, and a pair goes on to the exact count if its estimated similarity is at least
+``LEAST_ESTIMATE``, more than four standard errors below 0.75. No pair that fails the estimate leaves its task.
 
 Every step is written to the shared folder, so that lost executors repeat one step only.
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_table
@@ -40,9 +42,10 @@ PERCENT = 75
 ROWS = 6
 BANDS = 72
 PERMUTATIONS = BANDS * ROWS // 2
-HUBS = 16
-#: Members that one portion of a hub's group has.
+#: Members that one portion of a hub's group has, and classes in a block of a band.
 PORTION = 256
+BLOCK = 512
+LEAST_ESTIMATE = 0.66
 #: Shingles hashed at once, which bounds the memory for very long texts.
 _AT_ONCE = 2_048
 
@@ -51,7 +54,7 @@ _FIRST = _random.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1
 _SECOND = _random.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _BAND_SEEDS = _random.integers(0, 2**63, BANDS, dtype=np.uint64)
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_high long, set_low long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_high long, set_low long, bands array<long>, signature binary"
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -69,9 +72,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band; the band's number is part of it."""
-    values = signature(shingles).reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """One key per band of a signature; the band's number is part of it."""
+    values = values.reshape(BANDS, ROWS).astype(np.uint64)
     keys = _BAND_SEEDS.copy()
     for k in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
@@ -80,14 +83,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, highs, lows, bands = [], [], [], []
+        sizes, highs, lows, bands, signatures = [], [], [], [], []
         for text in batch.column("text"):
             shingles = shingle_set(text.as_py(), SHINGLE_WORDS)
             digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
             sizes.append(len(shingles))
             highs.append(digest[0])
             lows.append(digest[1])
-            bands.append(band_keys(shingles) if len(shingles) else np.empty(0, np.int64))
+            values = signature(shingles) if len(shingles) else np.empty((0, 2), np.uint32)
+            bands.append(band_keys(values) if len(shingles) else np.empty(0, np.int64))
+            signatures.append((values >> np.uint32(12)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -95,11 +100,58 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(highs, pa.int64()),
                 pa.array(lows, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())),
+                pa.array(signatures, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "set_high", "set_low", "bands"],
+            ["doc_id", "n_shingles", "set_high", "set_low", "bands", "signature"],
         )
 
 
+def alike(roots: np.ndarray, blocks: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs of different roots, of the two ``blocks`` if there are two, whose estimate is high enough.
+
+    A byte agrees by chance once in 256 times. The most common root is only compared with the others.
+    """
+    least = LEAST_ESTIMATE * signatures.shape[1]
+    names, place, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    common = place == counts.argmax()
+    two = blocks.min() != blocks.max()
+    found = []
+    for i in np.flatnonzero(~common):
+        # Pairs among the others come once, from the first of them.
+        other = (place != place[i]) & (common | (np.arange(len(roots)) > i))
+        if two:
+            other &= blocks != blocks[i]
+        rows = np.flatnonzero(other)
+        agree = np.count_nonzero(signatures[rows] == signatures[i], axis=1)
+        found += [(int(i), int(k)) for k in rows[agree >= least]]
+    return found
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by band and pair of blocks; at most two blocks are held."""
+    current, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        reps, roots, blocks, signatures = zip(*held, strict=True)
+        table = np.stack([np.frombuffer(x, np.uint8) for x in signatures])
+        pairs = alike(np.array(roots), np.array(blocks), table)
+        hubs = [min(reps[a], reps[b]) for a, b in pairs]
+        members = [max(reps[a], reps[b]) for a, b in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(members, pa.int64())], ["hub", "member"])
+
+    for batch in batches:
+        keys = [batch.column(c).to_pylist() for c in ("band", "first", "second")]
+        rows = [batch.column(c).to_pylist() for c in ("rep", "root", "block", "signature")]
+        for key, row in zip(zip(*keys, strict=True), zip(*rows, strict=True), strict=True):
+            if key != current and held:
+                yield flush()
+                held = []
+            current = key
+            held.append(row)
+    if held:
+        yield flush()
+
+
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -220,10 +272,13 @@ def find_components(documents: DataFrame) -> DataFrame:
         "class-members",
     )
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
-    members = write_table(banded.join(shared.select("band", "hub"), "band"), "band-members")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"))
+    members = write_table(banded.join(shared.filter("a < b").select("band", "n"), "band"), "band-members")
     texts = texts.filter("doc_id is not null and text is not null")
-    pairs = members.filter("rep <> hub").select("hub", F.col("rep").alias("member")).distinct()
+    degrees = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degrees, "rep").withColumn("rank", F.struct("degree", (-F.col("rep")).alias("place")))
+    hubs = ranked.groupBy("band").agg((-F.max("rank")["place"]).alias("hub"))
+    pairs = members.join(hubs, "band").filter("rep <> hub").select("hub", F.col("rep").alias("member")).distinct()
     pairs = write_table(_alike_in_size(pairs, named), "pairs")
     links = write_table(confirm_links(pairs, texts), "confirmed")
     # Rows of one doc_id with differing texts lie in several classes, which they link.
@@ -231,33 +286,14 @@ def find_components(documents: DataFrame) -> DataFrame:
     several = several.join(same, "doc_id").filter("rep <> hub").select("hub", F.col("rep").alias("member"))
     links = links.unionByName(several)
     roots = write_table(components(links), "roots")
-    members, done = members.select("band", "rep"), 1
-    while True:
-        # Bands whose classes are not all in one component yet; their first ``done`` members were hubs.
-        rooted = _roots(members, roots)
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        rooted = rooted.join(mixed.select("band"), "band").withColumn(
-            "place", F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-        )
-        rooted = write_table(rooted, "mixed-bands")
-        hubs = rooted.filter((F.col("place") > done) & (F.col("place") <= done + HUBS)).select(
-            "band", F.col("rep").alias("hub"), F.col("root").alias("hub_root"), F.col("place").alias("hub_place")
-        )
-        pairs = (
-            rooted.join(hubs, "band")
-            .filter("place > hub_place and root <> hub_root")
-            .select("hub", F.col("rep").alias("member"))
-            .distinct()
-        )
-        if rooted.filter(F.col("place") > done + 1).isEmpty():
-            break
-        pairs = write_table(_alike_in_size(pairs, named), "more-pairs")
-        if not pairs.isEmpty():
-            found = write_table(confirm_links(pairs, texts), "more-links")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                roots = write_table(components(links), "roots")
-        members, done = rooted.select("band", "rep"), done + HUBS
+    # Bands whose classes are not all in one component yet are searched in full.
+    rooted = _roots(members.select("band", "rep", "n"), roots)
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+    rooted = write_table(rooted.join(mixed.select("band"), "band"), "mixed-bands")
+    more = write_table(_alike_in_size(_search(rooted, named).join(pairs, ["hub", "member"], "left_anti"), named), "more-pairs")
+    found = write_table(confirm_links(more, texts), "more-links")
+    if not found.isEmpty():
+        roots = write_table(components(links.unionByName(found)), "roots")
     # Every doc_id has the root of its first class; others of the same doc_id are linked with it.
     component = _roots(same.groupBy("doc_id").agg(F.min("rep").alias("rep")), roots).select(
         "doc_id", F.col("root").alias("component_id")
@@ -269,6 +305,29 @@ def find_components(documents: DataFrame) -> DataFrame:
     )
 
 
+def _search(rooted: DataFrame, named: DataFrame) -> DataFrame:
+    """Distinct (hub, member) of bands (band, rep, n, root) that may be linked and lie in different components."""
+    reps = rooted.select("rep").distinct()
+    signatures = (
+        named.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        .select(F.col("doc_id").alias("rep"), "signature")
+        .distinct()
+    )
+    blocks = F.ceil(F.col("n") / BLOCK)
+    return (
+        rooted.join(signatures, "rep")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .withColumn("first", F.least("block", "other"))
+        .withColumn("second", F.greatest("block", "other"))
+        .select("band", "first", "second", "rep", "root", "block", "signature")
+        .repartition(_partitions(rooted.sparkSession), "band", "first", "second")
+        .sortWithinPartitions("band", "first", "second")
+        .mapInArrow(_search_blocks, "hub long, member long")
+        .distinct()
+    )
+
+
 def _alike_in_size(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Sets whose sizes differ by more than the similarity allows can't be linked."""
     sizes = sketches.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
