@@ -800,3 +800,12 @@ oracle(
     """select b.flow_id, briefing, coalesce(n, 0)::int as n_explained from briefings b
        left join (select flow_id, count(*) as n from votes group by 1) using (flow_id)""",
 )
+
+oracle(
+    "q_x12_filtered",
+    [*EXPLAINED, _summaries, _briefings],
+    """select flow_id, summary, briefing, n::int as n_explained
+       from briefings join summaries using (flow_id) join (select flow_id, count(*) as n from votes group by 1) using (flow_id)
+       join combined using (flow_id)
+       where briefing like '%ANOMALY%' and rank = 1 and feature = 'IN_BYTES'""",
+)

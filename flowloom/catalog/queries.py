@@ -16,7 +16,7 @@ from flowloom import fixtures
 from flowloom.functions import scoring, taxonomy, text
 from flowloom.functions.numeric import finite_or_zero
 from flowloom.operators import attribution, cleanse, metrics, profile, routing, runlog, sampling, scaling, voting
-from flowloom.plans import prepare, training
+from flowloom.plans import predict, prepare, training
 from flowloom.plans.scoring import decide_flows, decision_summary, score_flows
 from flowloom.schema import AGENTS, CANONICAL, V1, agent_table, feature_table, flow_table
 from flowloom.session import scratch_path, write_table
@@ -910,6 +910,14 @@ def briefings_without_model(spark, sf_dir):
     return rows.select("flow_id", words.alias("briefing"), F.size("explanations").alias("n_explained"))
 
 
+@query("q_x12_filtered")
+def filtered_briefings(spark, sf_dir):
+    """The whole prediction, then only flows whose briefing calls them an anomaly and names a certain feature first."""
+    rows = predict.predict(fixtures.flows(spark, sf_dir), ["flow_id"], fixtures.linear_explainers(), hint="attack_hint")
+    chosen = rows.filter(F.col("briefing").contains("ANOMALY") & (F.get("explained", F.lit(0))["feature"] == "IN_BYTES"))
+    return chosen.select("flow_id", "summary", "briefing", F.size("explanations").alias("n_explained"))
+
+
 @query("q_x13_answers")
 def answers(spark, sf_dir):
     turns = fixtures.table(spark, sf_dir, "conversations")

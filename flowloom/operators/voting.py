@@ -105,14 +105,17 @@ def vote_long(votes: DataFrame, *keys: str) -> DataFrame:
     return tallied.select(*keys, *[c.alias(n) for n, c in outcome.items()])
 
 
-def collapse_requests(scored: DataFrame, request: str, order: str, agents: Sequence[Agent] = AGENTS) -> DataFrame:
+def collapse_requests(
+    scored: DataFrame, request: str, order: str, agents: Sequence[Agent] = AGENTS, carry: Sequence[str] = ()
+) -> DataFrame:
     """One routed and scored row per request, so that a request gets one answer.
 
     Each detector has the prediction it gives for its first row of the request and the mean of its
-    confidences. ``order`` ranks the rows of a request and must be unique within it. All of it combines
-    before the shuffle, so a request may hold any number of flows.
+    confidences. ``order`` ranks the rows of a request and must be unique within it; the columns to
+    ``carry`` have the value of its first row. All of it combines before the shuffle, so a request may hold any
+    number of flows.
     """
-    columns = []
+    columns = [F.min_by(c, F.col(order)).alias(c) for c in carry]
     for a in agents:
         there = F.col(a.routed)
         columns += [

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
-_local_folder: str | None = None
+_own_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
@@ -25,6 +25,8 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
     )
+    if FOLDER_SETTING not in settings:
+        settings = settings | {FOLDER_SETTING: tempfile.mkdtemp(prefix="flowloom-")}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -33,24 +35,26 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a local session without the setting gets a folder of its own: on a cluster a
-    machine-local folder would be lost with its machine.
+    A session that one machine runs and that names none gets one of its own, as in tests.
     """
-    global _local_folder
-    folder = spark.conf.get(FOLDER_SETTING, None)
+    folder = spark.conf.get(FOLDER_SETTING, None) or _own_folders.get(spark.sparkContext.applicationId)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {FOLDER_SETTING} to a folder that every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="flowloom-")
-    return _local_folder
+    return _own_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="flowloom-"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/flowloom/{label}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this library in the shared folder, once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/flowloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and return it as a table.
 

@@ -202,6 +202,108 @@ def test_plan_of_the_vote_has_no_shuffle(spark):
 
 
 def test_selection_never_shuffles_the_flows(spark):
-    rows = fixtures.flows(spark, SMALL).select("flow_id", "Label", "IN_BYTES")
-    plan = sampling.stratified_split(rows, "flow_id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    """Also where the planner may broadcast nothing."""
+    rows = fixtures.flows(spark, SMALL).select("flow_id", "Label", "Attack", "dataset_version", "IN_BYTES")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table in (
+            sampling.stratified_split(rows, "flow_id"),
+            sampling.stratified_split(rows, "flow_id", "Attack"),
+            sampling.sample_by_ratio(rows, "dataset_version", {"v1": 0.5}, "flow_id"),
+            sampling.sample_by_class(rows, "flow_id", other_cap=5),
+            sampling.sample_rows(rows, 100, "flow_id"),
+        ):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("flow_id,IN_BYTES,Attack,Label\nx,5,ddos,1\n")
+    (tmp_path / "b.csv").write_text("Label,Other,Attack,flow_id\n0,9,Benign,y\nmany,9,dos,z\n")
+    (tmp_path / "c.csv").write_text("")
+    schema = "flow_id string, IN_BYTES double, Attack string, Label int"
+    from pyspark.sql.types import StructType
+
+    table = flow_source.read_csv(spark, str(tmp_path), StructType.fromDDL(schema), keep_malformed=True)
+    rows = {r.flow_id: (r.IN_BYTES, r.Attack, r.Label, r[flow_source.MALFORMED]) for r in table.collect()}
+    assert rows["x"] == (5.0, "ddos", 1, None) and rows["y"] == (None, "Benign", 0, None)
+    assert rows["z"][:3] == (None, "dos", None) and rows["z"][3] == "many,9,dos,z"
+
+
+def test_rows_of_partitioned_tables_have_their_own_identity(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 3).selectExpr("id", "id % 7 as part").write.partitionBy("part").parquet(path)
+    table = flow_source.with_row_identity(spark.read.parquet(path), path)
+    assert table.select("flow_id").distinct().count() == 1000
+    assert sampling.sample_rows(table, 101, "flow_id").count() == 101
+
+
+def test_threshold_is_the_exact_element(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    for values in (
+        [rng.lognormvariate(0, 4) for _ in range(30_000)],
+        [1.0] * 50 + [2.0],
+        [rng.choice([0.0, 1e-300, 5.0, 1e300]) for _ in range(999)],
+        [7.5],
+        [float(i % 20_011) for i in range(40_000)],
+    ):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "e double")
+        got = training.anomaly_threshold(df, "e").first()[0]
+        assert got == sorted(values)[math.ceil(0.95 * len(values)) - 1]
+    assert training.anomaly_threshold(df.limit(0), "e").first()[0] is None
+
+
+def test_preparation_scans_its_source_three_times_at_most(spark, tmp_path):
+    from flowloom.plans import prepare
+
+    fixtures.flows(spark, SMALL).write.parquet(str(tmp_path / "flows"))
+    rows = prepare.prepare_table(spark, str(tmp_path / "flows"), "flow_id", str(tmp_path / "out"), limit=500)
+    assert rows.count() <= 500 and {r.split for r in rows.select("split").distinct().collect()} == {"train", "test"}
+    assert spark.read.parquet(str(tmp_path / "out/profile")).count() > 0
+    tests = sinks.read_test_classes(spark, str(tmp_path / "out/test-classes"))
+    assert tests.count() == rows.filter("split = 'test'").count()
+    split = prepare.prepare(fixtures.flows(spark, SMALL), "flow_id")
+    assert "lineitem" not in split._jdf.queryExecution().executedPlan().toString()  # reads what was written
+
+
+def test_prediction_of_requests_with_trained_detectors(spark, trained):
+    from flowloom.plans import predict
+
+    registry, train, _ = trained
+    explainers = training.fit_linear_explainers(train)
+    assert len(explainers) == len(AGENTS) and all(set(e.weights) == set(a.features) for e, a in zip(explainers, AGENTS))
+    full = {f: 1.5 for f in V1}
+    bodies = [
+        ("known", json.dumps({"flows": [full, {**full, "IN_BYTES": 9e9}], "attack_type": "ddos"})),
+        ("odd", json.dumps({"flows": [{k: v for k, v in full.items() if k != "IN_PKTS"}]})),
+    ]
+    requests_in = spark.createDataFrame(bodies, "flow_id string, request string")
+    predicted, bad = predict.predict_requests(requests_in, "flow_id", explainers, scorer=registry.score)
+    rows = predicted.orderBy("pos").collect()
+    assert [(r.flow_id, r.pos) for r in rows] == [("known", 0), ("known", 1)] and bad.count() == 1
+    assert all(r.prediction in ("benign", "anomaly") and r.explained and r.briefing for r in rows)
+    assert {e.agent for e in rows[0].explanations} == {p.agent for p in rows[0].agent_predictions}
+    answers = predict.as_responses(predicted).collect()
+    assert all(json.loads(a.explanation)["top_features"] for a in answers)
+    whole = predict.answer_requests(requests_in, "flow_id", scorer=registry.score).collect()
+    assert [r.flow_id for r in whole] == ["known"] and whole[0].detected_attack_type in ("ddos", "Benign")
+    # A filter on a text reads the written explanations.
+    plan = predicted.filter(F.col("briefing").contains("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
+
+
+def test_flows_without_a_vote_are_not_explained(spark):
+    from flowloom.plans import predict
+
+    nobody = lambda df, agents: voting.mask_missing(score_by_rules(df, agents), [], agents)
+    rows = fixtures.flows(spark, SMALL).limit(20)
+    predicted = predict.predict(rows, ["flow_id"], fixtures.linear_explainers(), hint="attack_hint", scorer=nobody)
+    assert {(r.prediction, len(r.explanations)) for r in predicted.collect()} == {("unknown", 0)}
+    assert predicted.filter("briefing like '%ANOMALY%' or briefing like '%Block%'").count() == 0
+    assert predict.as_responses(predicted).filter("explanation is not null").count() == 0

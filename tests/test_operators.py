@@ -253,6 +253,18 @@ def test_sampled_shapley_of_a_linear_model_is_exact_in_sum(spark):
     assert b["x"] == pytest.approx(-1.0) and b["y"] == pytest.approx(-4.0)
 
 
+def test_sampled_shapley_uses_every_background_row(spark):
+    flows = spark.createDataFrame([("x", 1.0)], "id string, a double")
+    background = spark.createDataFrame([(float(i),) for i in range(3)], "a double")
+    score = lambda df: df.withColumn("score", F.col("a") * 2)
+    rows = attribution.sampled_shapley(flows, "id", ["a"], score, background).collect()
+    assert rows[0].shap_value == pytest.approx(0.0)
+    with pytest.raises(ValueError, match="equally often"):
+        attribution.sampled_shapley(flows, "id", ["a"], score, background, permutations=4)
+    with pytest.raises(ValueError, match="more than 2"):
+        attribution.sampled_shapley(flows, "id", ["a"], score, background, max_background=2)
+
+
 def test_run_log(spark):
     rows = [("r1", "d", "load", "running", [], ["w"], 1.0), ("r1", "d", "fit", "completed", [], [], 2.0),
             ("r2", "d", "load", "running", ["e1", "e2", "e3", "e4", "e5"], [], 1.0), ("r3", None, "load", "running", [], [], 1.0)]
