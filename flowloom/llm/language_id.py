@@ -31,7 +31,8 @@ WINDOW = 128
 UNITS = 8
 SAMPLE_DOCS = 600
 SAMPLE_WINDOWS = 6
-EPOCHS = 4
+#: Steps of training, of ``_BATCH`` windows each; as many for any size of the sample.
+STEPS = 240
 _BATCH = 256
 _AT_ONCE = 1_024
 _LETTER = re.compile(r"[^\W\d_]")
@@ -126,7 +127,7 @@ def loss_and_gradients(net: Network, data: np.ndarray, target: np.ndarray) -> tu
     return loss, [np.stack([f[0], b[0]]), np.stack([f[1], b[1]]), d_output, p.sum(axis=(0, 2))]
 
 
-def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> Network:
     """A network from ``windows`` (n, WINDOW) of bytes and the index of each window's language."""
     rng = np.random.default_rng(seed)
     scale = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
@@ -139,19 +140,19 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     )
     arrays = [net.inputs, net.recurrent, net.output, net.bias]
     mean, square, step = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays], 0
-    total = max(1, epochs * -(-len(windows) // _BATCH))
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), _BATCH):
-            chosen = order[at : at + _BATCH]
-            data = np.ascontiguousarray(windows[chosen].T).astype(np.intp)
-            _, gradients = loss_and_gradients(net, data, target[chosen])
-            step += 1
-            rate = 0.03 * (1 - 0.9 * step / total)
-            for a, g, m, v in zip(arrays, gradients, mean, square, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                a -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+    order = np.empty(0, np.int64)
+    while step < steps:
+        while len(order) < min(_BATCH, len(windows)):
+            order = np.concatenate([order, rng.permutation(len(windows))])
+        chosen, order = order[:_BATCH], order[_BATCH:]
+        data = np.ascontiguousarray(windows[chosen].T).astype(np.intp)
+        _, gradients = loss_and_gradients(net, data, target[chosen])
+        step += 1
+        rate = 0.03 * (1 - 0.9 * step / steps)
+        for a, g, m, v in zip(arrays, gradients, mean, square, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            a -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return net
 
 

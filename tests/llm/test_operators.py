@@ -201,7 +201,7 @@ def test_language_gradients():
     rng = np.random.default_rng(1)
     windows = rng.integers(0, 255, (6, language_id.WINDOW)).astype(np.uint8)
     target = np.array([0, 1, 2, 0, 1, 2])
-    net = language_id.train(windows, target, ["a", "b", "c"], epochs=1)
+    net = language_id.train(windows, target, ["a", "b", "c"], steps=3)
     data = np.ascontiguousarray(windows.T[:12]).astype(np.intp)
     _, gradients = language_id.loss_and_gradients(net, data, target)
     for array, gradient in zip((net.inputs, net.recurrent, net.output, net.bias), gradients, strict=True):
@@ -218,7 +218,7 @@ def test_language_gradients():
 
 def test_windows_do_not_depend_on_other_texts():
     rng = np.random.default_rng(4)
-    net = language_id.train(rng.integers(0, 255, (20, 128)).astype(np.uint8), np.arange(20) % 2, ["a", "b"], epochs=1)
+    net = language_id.train(rng.integers(0, 255, (20, 128)).astype(np.uint8), np.arange(20) % 2, ["a", "b"], steps=3)
     texts = ["short", "x" * 128, "y" * 1000, None, "z" * 300_000]
     together = language_id.document_probabilities(net, texts)
     for i, text in enumerate(texts):
