@@ -2,10 +2,10 @@
 
 A vector's code has one bit per dimension, set where the value is above 0. Codes are cut into segments of about
 log2(number of codes) bits, and an index holds every distinct code under each of its segments. A search looks
-up all segment values within radius 0 of the query's, then 1, 2 and so on. After radius r every code nearer
-than ``segments * (r + 1)`` was met, for such a code is within r in some segment; a query is done once its k-th
-verified distance is below that. Only unfinished queries go on. A pair is verified once: in the first of
-the segments where it is nearest.
+up all segment values at radius 0 of the query's, then 1, 2 and so on, one segment after the other. A code not met up to radius r
+in segment j differs in r + 1 bits or more in the segments up to j and in r or more in the others, so all codes within
+``segments * r + j`` were met; a query is done once its k-th verified distance is no more than that. Only
+unfinished queries go on. A pair is verified once: in the first step that meets it.
 
 Equal vectors share a code, of which the index needs the ``k`` smallest ids only, so a very common vector costs no more than
 others. Results are ordered by distance, then id; a query row finds itself as well.
@@ -42,7 +42,7 @@ def code(vector: Column | str) -> Column:
 
 def segment_bounds(codes: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, width) of segments of about log2(codes) bits."""
-    n = max(1, min(bits, round(bits / max(1.0, math.log2(max(2, codes))))))
+    n = max(1, min(bits // 8, round(bits / math.log2(max(2, codes)))))
     ends = [bits * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -74,41 +74,43 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = queries.filter("id is not null and code is not null")
     open_queries = write_table(asked.select(F.col("code").alias("query")).distinct(), "open-queries")
     best = None
-    widths = F.array(*[F.lit(w) for _, w in bounds])
     by_distance = Window.partitionBy("query").orderBy("distance", "least")
-    for radius in range(max(w for _, w in bounds) + 1):
+    nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
+    wanted = min(k, entries.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    every = list(range(len(bounds)))
+    # Low radii take few probes, so all segments at once; later ones go segment by segment.
+    steps = [(0, every), (1, every)]
+    steps += [(r, [j]) for r in range(2, max(w for _, w in bounds) + 1) for j in every]
+    for radius, segments in steps:
         # Masks of ``radius`` bits: each bit is below the one before it, so every mask comes once.
-        probes = open_queries.select(
-            "query",
-            F.posexplode(F.array(*[_segment(F.col("query"), *b) for b in bounds])).alias("segment", "value"),
-        ).withColumn("low", widths[F.col("segment")])
+        own = [
+            F.struct(F.lit(j).alias("segment"), _segment(F.col("query"), *bounds[j]).alias("value"), F.lit(bounds[j][1]).alias("low"))
+            for j in segments
+        ]
+        probes = open_queries.select("query", F.explode(F.array(*own)).alias("s")).select("query", "s.*")
         for _ in range(radius):
             probes = probes.filter("low > 0").select(
                 "query", "segment", "value", F.explode(F.sequence(F.lit(0), F.col("low") - 1)).alias("low")
             )
             probes = probes.withColumn("value", F.expr("value ^ shiftleft(1L, low)"))
-        met = probes.join(index, ["segment", "value"])
-        first_segment = F.lit(True)
-        for j, b in enumerate(bounds):
-            apart = _apart(F.col("query"), F.col("code"), *b)
-            at_least = F.when(F.col("segment") > j, radius + 1).otherwise(radius)
-            first_segment = first_segment & (apart >= at_least)
+        # Probes are many more than the planner can see, so none of the sides may be broadcast.
+        met = probes.hint("merge").join(index.filter(F.col("segment").isin(segments)), ["segment", "value"])
+        is_new = F.lit(True)
+        for i, b in enumerate(bounds):
+            least = F.when(F.col("segment") > i, radius + 1).otherwise(radius)
+            is_new = is_new & (_apart(F.col("query"), F.col("code"), *b) >= least)
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
-        found = met.filter(first_segment).select("query", "code", "least", distance.alias("distance"))
+        found = met.filter(is_new).select("query", "code", "least", distance.alias("distance"))
         if best is not None:
             found = found.unionByName(best)
         # Codes beyond the first k can't be among the k nearest rows.
         found = found.withColumn("nth", F.row_number().over(by_distance)).filter(F.col("nth") <= k).drop("nth")
         best = write_table(found, "nearest")
         rows = best.join(entries.select("code", F.size("ids").alias("rows")), "code")
-        nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
-        covered = len(bounds) * (radius + 1) - 1
-        done = (
-            rows.withColumn("so_far", F.sum("rows").over(nearer))
-            .filter((F.col("so_far") >= k) & (F.col("distance") <= covered))
-            .select("query")
-            .distinct()
-        )
+        covered = len(bounds) * radius + segments[-1]
+        # Fewer than k rows are all there is; else the k-th has to be covered.
+        enough = (F.col("so_far") >= wanted) & ((F.col("distance") <= covered) | F.lit(wanted < k))
+        done = rows.withColumn("so_far", F.sum("rows").over(nearer)).filter(enough).select("query").distinct()
         open_queries = write_table(open_queries.join(done, "query", "left_anti"), "open-queries")
         if open_queries.isEmpty():
             break
