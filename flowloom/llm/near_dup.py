@@ -106,10 +106,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def alike(roots: np.ndarray, blocks: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
+def alike(
+    band: int, roots: np.ndarray, blocks: np.ndarray, signatures: np.ndarray, bands: np.ndarray
+) -> list[tuple[int, int]]:
     """Places of pairs of different roots, of the two ``blocks`` if there are two, whose estimate is high enough.
 
-    A byte agrees by chance once in 256 times. The most common root is only compared with the others.
+    A byte agrees by chance once in 256 times. The most common root is only compared with the others. A pair
+    that shares several ``bands`` is named in the first of them only.
     """
     least = LEAST_ESTIMATE * signatures.shape[1]
     names, place, counts = np.unique(roots, return_inverse=True, return_counts=True)
@@ -123,7 +126,9 @@ def alike(roots: np.ndarray, blocks: np.ndarray, signatures: np.ndarray) -> list
             other &= blocks != blocks[i]
         rows = np.flatnonzero(other)
         agree = np.count_nonzero(signatures[rows] == signatures[i], axis=1)
-        found += [(int(i), int(k)) for k in rows[agree >= least]]
+        rows = rows[agree >= least]
+        first = bands[i][(bands[rows] == bands[i]).argmax(axis=1)]
+        found += [(int(i), int(k)) for k in rows[first == band]]
     return found
 
 
@@ -132,9 +137,9 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     current, held = None, []
 
     def flush() -> pa.RecordBatch:
-        reps, roots, blocks, signatures = zip(*held, strict=True)
+        reps, roots, blocks, signatures, bands = zip(*held, strict=True)
         table = np.stack([np.frombuffer(x, np.uint8) for x in signatures])
-        pairs = alike(np.array(roots), np.array(blocks), table)
+        pairs = alike(current[0], np.array(roots), np.array(blocks), table, np.stack(bands))
         hubs = [min(reps[a], reps[b]) for a, b in pairs]
         members = [max(reps[a], reps[b]) for a, b in pairs]
         return pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(members, pa.int64())], ["hub", "member"])
@@ -142,6 +147,7 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         keys = [batch.column(c).to_pylist() for c in ("band", "first", "second")]
         rows = [batch.column(c).to_pylist() for c in ("rep", "root", "block", "signature")]
+        rows.append(list(batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)))
         for key, row in zip(zip(*keys, strict=True), zip(*rows, strict=True), strict=True):
             if key != current and held:
                 yield flush()
@@ -274,7 +280,10 @@ def find_components(documents: DataFrame) -> DataFrame:
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"))
     members = write_table(banded.join(shared.filter("a < b").select("band", "n"), "band"), "band-members")
+    # Texts of classes that share a band are all that comparisons need; texts are shuffled once, here.
+    candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = texts.filter("doc_id is not null and text is not null")
+    texts = write_table(texts.join(candidates.hint("merge"), "doc_id", "left_semi"), "candidate-texts")
     degrees = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = members.join(degrees, "rep").withColumn("rank", F.struct("degree", (-F.col("rep")).alias("place")))
     hubs = ranked.groupBy("band").agg((-F.max("rank")["place"]).alias("hub"))
@@ -310,7 +319,7 @@ def _search(rooted: DataFrame, named: DataFrame) -> DataFrame:
     reps = rooted.select("rep").distinct()
     signatures = (
         named.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), "signature")
+        .select(F.col("doc_id").alias("rep"), "signature", "bands")
         .distinct()
     )
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -320,7 +329,7 @@ def _search(rooted: DataFrame, named: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumn("first", F.least("block", "other"))
         .withColumn("second", F.greatest("block", "other"))
-        .select("band", "first", "second", "rep", "root", "block", "signature")
+        .select("band", "first", "second", "rep", "root", "block", "signature", "bands")
         .repartition(_partitions(rooted.sparkSession), "band", "first", "second")
         .sortWithinPartitions("band", "first", "second")
         .mapInArrow(_search_blocks, "hub long, member long")
