@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SMALL
-from test_operators import brute_components, brute_counts
+from test_text_operators import brute_components, brute_counts
 
 import __spark_entry__ as entry
 import corpus_pipeline
