@@ -299,7 +299,7 @@ def find_components(documents: DataFrame) -> DataFrame:
     rooted = _roots(members.select("band", "rep", "n"), roots)
     mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
     rooted = write_table(rooted.join(mixed.select("band"), "band"), "mixed-bands")
-    more = write_table(_alike_in_size(_search(rooted, named).join(pairs, ["hub", "member"], "left_anti"), named), "more-pairs")
+    more = write_table(_search(rooted, named).join(pairs, ["hub", "member"], "left_anti"), "more-pairs")
     found = write_table(confirm_links(more, texts), "more-links")
     if not found.isEmpty():
         roots = write_table(components(links.unionByName(found)), "roots")
