@@ -2,15 +2,21 @@
 
 A few fixed base rules reject at once. Further rules compare a share of each text with a cutoff, and the
 cutoffs are chosen for each stratum (``lang``) on all labelled documents, which serve as holdout: nothing
-else is fitted to them. A cutoff is taken if the exact (Clopper-Pearson) upper bound of its false
-rejections, good documents that it rejects among all good ones, is at most the rule's part of ``risk``;
-equivalently, if so few false rejections are improbable at that rate. For each stratum and rule the cutoffs
-are tested in a fixed order, from the mildest, and testing ends at the first that fails, so one test level
-serves a whole sequence; over the sequences the level is divided by their number (Bonferroni). With
-probability ``1 - level`` at most ``risk`` of the good documents of every stratum are then rejected by
-these rules. A stratum with too few labels gets no rule. Labels are counted by Spark; only one count per
-stratum, rule and cutoff reaches the driver, and a stratum with fewer good labels than any test needs is not
-among them.
+else is fitted to them. A combination of cutoffs, at most one for each rule, is taken if so few false rejections (good
+documents that any of its cutoffs rejects, among all good ones) are improbable at the rate ``risk``; equivalently, if their
+exact (Clopper-Pearson) upper bound is at most ``risk``. Two families of tests share a stratum's level:
+
+- the ladder, with ``LADDER`` of it: from no cutoff on, the rules in the order of ``RULES``, and of each the cutoffs from the
+  mildest, are added one by one. False rejections can only become more, the order is fixed, and testing ends at the
+  first that fails, so one level serves all steps. Where labels are few this reaches as far as the symbols go.
+- all combinations of cutoffs, with the rest of it divided by their number. Where labels are many this goes on from the
+  end of the ladder, past a cutoff that fails, to further rules.
+
+The level is divided by the number of strata that have enough good labels for a test (Bonferroni; how many labels there are
+tells nothing of false rejections). With probability ``1 - level`` at most ``risk`` of the good documents of every stratum are
+then rejected by these rules. A stratum with too few labels gets no rule. Labels are counted by Spark; only one count per
+stratum and combination of exceeded cutoffs reaches the driver, at most 17,640 a stratum, and a stratum with fewer good labels
+than any test needs is not among them.
 
 Nulls: a null text has no words and fails the base rules; a null lang is a stratum of its own; a null label
 counts nowhere, nor does a label of a null doc_id. Repeated rows: each is judged; several labels of a document
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -37,6 +44,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 RISK = 0.01
 LEVEL = 0.05
+#: The ladder's part of a stratum's level.
+LADDER = 0.9
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper", "n_lines")
 #: For each rule the counts whose per-mille share it bounds, and its cutoffs from the mildest.
@@ -125,9 +134,9 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
 def choose_cutoffs(
     counts: dict[tuple[str | None, str], tuple[int, list[int]]], risk: float = RISK, level: float = LEVEL
 ) -> dict[tuple[str | None, str], int]:
-    """The strictest proven cutoff by (stratum, rule).
+    """The strictest cutoff by (stratum, rule) that counts of single rules prove, each with an equal part of risk and level.
 
-    ``counts`` has the good documents of the stratum and, by cutoff, how many of them it rejects.
+    ``choose_joint_cutoffs`` proves more where documents can be counted by all rules together. ``counts`` has the good documents of the stratum and, by cutoff, how many of them it rejects.
     """
     share = risk / len(RULES)
     each = level / max(1, len(counts))
@@ -141,27 +150,78 @@ def choose_cutoffs(
     return chosen
 
 
+def least_good(strata: int, risk: float = RISK, level: float = LEVEL) -> float:
+    """Good labels that the ladder's tests need without a false rejection, if the level is divided by ``strata``."""
+    return math.log(LADDER * level / strata) / math.log1p(-risk)
+
+
+def _false_rejections(profiles: dict[tuple[int, ...], int], taken: list[int]) -> int:
+    return sum(n for profile, n in profiles.items() if any(t > first for t, first in zip(taken, profile, strict=True)))
+
+
+def choose_joint_cutoffs(
+    profiles: dict[str | None, dict[tuple[int, ...], int]], risk: float = RISK, level: float = LEVEL
+) -> dict[tuple[str | None, str], int]:
+    """The strictest proven cutoffs by (stratum, rule).
+
+    ``profiles`` has, for each stratum, the number of good documents by the place of the mildest cutoff of each rule that
+    they exceed (the number of cutoffs if none).
+    """
+    good = {s: sum(p.values()) for s, p in profiles.items()}
+    # As many strata as can all be tested, those with the most labels.
+    sizes = sorted(good.values(), reverse=True)
+    strata = max((m for m in range(1, len(sizes) + 1) if sizes[m - 1] >= least_good(m, risk, level)), default=0)
+    if not strata:
+        return {}
+    ladder = LADDER * level / strata
+    combinations = math.prod(len(cutoffs) + 1 for _, _, cutoffs in RULES.values())
+    any_of_all = (1 - LADDER) * level / strata / combinations
+    chosen = {}
+    for stratum, of_stratum in profiles.items():
+        n = good[stratum]
+        if n < least_good(strata, risk, level):
+            continue
+
+        def proven(taken: list[int], each: float, n: int = n, of_stratum: dict[tuple[int, ...], int] = of_stratum) -> bool:
+            k = _false_rejections(of_stratum, taken)
+            # More false rejections than the rate allows on average can't be evidence below it.
+            return k <= n * risk and binomial_at_most(k, n, risk) <= each
+
+        taken, on_ladder = [0] * len(RULES), True
+        for i, (_, _, cutoffs) in enumerate(RULES.values()):
+            for c in range(1, len(cutoffs) + 1):
+                stricter = [*taken[:i], c, *taken[i + 1 :]]
+                on_ladder = on_ladder and proven(stricter, ladder)
+                if not on_ladder and not proven(stricter, any_of_all):
+                    break
+                taken = stricter
+        chosen |= {(stratum, r): RULES[r][2][t - 1] for r, t in zip(RULES, taken, strict=True) if t}
+    return chosen
+
+
 def fit_cutoffs(
     counted: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL
 ) -> dict[tuple[str | None, str], int]:
     """Cutoffs from all labelled rows of ``counted`` (``count_texts``) that pass the base rules."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id")
-    tested = [F.sum(_exceeds(r, c).cast("long")).alias(f"{r}_{c}") for r, (_, _, cs) in RULES.items() for c in cs]
-    least = math.log(level) / math.log1p(-risk / len(RULES))  # a test with no false rejection needs so many
+    firsts = [
+        reduce(lambda found, c, r=r: found - _exceeds(r, c).cast("int"), cutoffs, F.lit(len(cutoffs))).alias(f"first_{r}")
+        for r, (_, _, cutoffs) in RULES.items()
+    ]
+    names = [f"first_{r}" for r in RULES]
     rows = (
         counted.filter(~base_failed())
         .join(good, "doc_id")
+        .select("lang", *firsts)
+        .groupBy("lang", *names)
+        .agg(F.count("*").alias("n"))
         .groupBy("lang")
-        .agg(F.count("*").alias("good"), *tested)
-        .filter(F.col("good") >= least)
+        .agg(F.sum("n").alias("good"), F.collect_list(F.struct(*names, "n")).alias("profiles"))
+        .filter(F.col("good") >= least_good(1, risk, level))
         .collect()
     )
-    counts = {
-        (row["lang"], rule): (row["good"], [row[f"{rule}_{c}"] for c in cutoffs])
-        for row in rows
-        for rule, (_, _, cutoffs) in RULES.items()
-    }
-    return choose_cutoffs(counts, risk, level)
+    profiles = {row["lang"]: {tuple(p[:-1]): p["n"] for p in row["profiles"]} for row in rows}
+    return choose_joint_cutoffs(profiles, risk, level)
 
 
 def judge(counted: DataFrame, cutoffs: dict[tuple[str | None, str], int]) -> DataFrame:

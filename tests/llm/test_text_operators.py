@@ -533,3 +533,33 @@ def test_quality_rules(spark):
     assert rest.count() == sum(sum(k) for k in kept.values())
     assert quality_rules.fit_cutoffs(counted, judged.limit(0)) == {}
     assert quality_rules.keep_documents(documents(spark, []), cutoffs).collect() == []
+
+
+def test_few_labels_prove_cutoffs_of_symbols(spark):
+    """A language with 500 good labels and one with 2,000, whose cutoffs take effect; 350 labels prove nothing beside them."""
+    rows, labels = [], []
+    for lang, n in (("en", 2000), ("fr", 500), ("es", 350)):
+        for k in range(n + 40):
+            marked = k >= n or (lang == "fr" and k < 2)  # two good ones that a strict cutoff rejects
+            words = [f"w{k}x{j}" for j in range(14)]
+            rows.append((len(rows), " ".join(w + ("#" if k < n else "###") if marked else w for w in words), lang))
+            labels.append((len(labels), int(k < n)))
+    counted = write_table(quality_rules.count_texts(documents(spark, rows)), "counts")
+    cutoffs = quality_rules.fit_cutoffs(counted, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert {s for s, _ in cutoffs} == {"en", "fr"} and cutoffs["en", "symbols"] == 40 and cutoffs["fr", "symbols"] == 200
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(counted, cutoffs).collect()}
+    assert [kept[i] for i, g in labels if rows[i][2] != "es"] == [bool(g) for i, g in labels if rows[i][2] != "es"]
+    assert all(kept[i] for i, _ in labels if rows[i][2] == "es")
+
+
+def test_joint_cutoffs_keep_to_the_whole_risk():
+    none = tuple(len(c) for _, _, c in quality_rules.RULES.values())
+    # All cutoffs from the strictest of symbols on have 30 of 20,000 false rejections, other rules 90 each at their strictest.
+    profiles = {none: 20_000 - 30 - 4 * 90, (8, *none[1:]): 30}
+    for i in range(1, 5):
+        profiles[(*none[:i], none[i] - 1, *none[i + 1 :])] = 90
+    chosen = quality_rules.choose_joint_cutoffs({"en": profiles})
+    taken = [quality_rules.RULES[r][2].index(chosen["en", r]) + 1 for r in quality_rules.RULES]
+    k = quality_rules._false_rejections(profiles, taken)
+    assert k == 120 and set(chosen) == {("en", r) for r in quality_rules.RULES}
+    assert quality_rules.choose_joint_cutoffs({"en": {none: 300}}) == {}
