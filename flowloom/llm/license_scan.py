@@ -1,15 +1,19 @@
 """Licence notices in texts, by a trained paragraph classifier that templates confirm.
 
-Every paragraph (line) of a text is classified by multinomial logistic regression over hashed word one- and two-grams
-into a licence family or unknown. The classifier is trained in numpy on varied notices of each family
-(``TEMPLATES`` with words left out, replaced and surrounded by words of the corpus) and, as unknown, on a bounded
-sample of the corpus' own paragraphs: up to ``SAMPLE_LINES`` of each of about ``SAMPLE_DOCS`` documents, drawn by a hash of
-doc_id, without those that resemble a template. A fifth of the examples is held out to calibrate the probabilities by a
-temperature. A prediction counts when its calibrated probability is at least ``LEAST_PROBABILITY`` and the paragraph holds at least
-``LEAST_COMMON`` of the grams of a template of that family.
+A paragraph is a block of lines up to a blank one (after comment marks and other signs are taken off), its lines joined,
+so wrapped notices are whole. A notice is a window of a paragraph, somewhat longer than a template at most, that
+holds at least ``LEAST_COMMON`` of the word one- and two-grams of that template. Every such window of every template is found,
+wherever it is in a text of any length, and multinomial logistic regression over its hashed grams alone, whatever
+surrounds it, must give the template's licence family rather than another one or unknown, with a calibrated probability
+of at least ``LEAST_PROBABILITY``. Windows that overlap are one notice, that which holds most of its template.
+
+The classifier is trained in numpy on varied notices of each family (``TEMPLATES`` with words left out, replaced and
+surrounded by words of the corpus) and, as unknown, on a bounded sample of the corpus' own lines: up to
+``SAMPLE_LINES`` of each of about ``SAMPLE_DOCS`` documents, drawn by a hash of doc_id, without those that resemble a template. A
+fifth of the examples is held out to calibrate the probabilities by a temperature.
 
 Nulls: a null text has no paragraph; rows with a null doc_id are scanned like others. Ties between families go to the
-first in alphabetical order, between paragraphs to the first. Repeated rows are scanned each. Other columns are ignored. An
+first in alphabetical order, between notices to the first. ``paragraph`` is the line on which the surest notice begins. Repeated rows are scanned each. Other columns are ignored. An
 empty table gives an empty result.
 """
 
@@ -105,24 +109,31 @@ _CLEAN = bytes(
 )
 
 
-def paragraph_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the one- and two-grams of all paragraphs of a text, and the paragraph of each."""
+def text_grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words of a text, of the pairs that they begin (-1 at the end of a paragraph), and each word's line."""
     data = text.encode("utf-8", "replace").translate(_CLEAN).replace(b".\n", b"\n").replace(b". ", b" ")
     tokens = data.replace(b"\n", b" \x01 ").split()
     if tokens:
         tokens[-1] = tokens[-1].rstrip(b".") or b"."
     hashes = np.fromiter(map(xxhash.xxh32_intdigest, tokens), np.uint32, len(tokens))
     ends = hashes == np.uint32(xxhash.xxh32_intdigest(_BREAK))
-    owner = np.cumsum(ends)
+    line = np.cumsum(ends)[~ends]
+    hashes = hashes[~ends]
     pairs = hashes[:-1] * np.uint32(0x9E3779B1) + hashes[1:]
     pairs ^= pairs >> np.uint32(15)
-    both = ~(ends[:-1] | ends[1:]) if len(ends) else np.empty(0, bool)
-    places = np.concatenate([hashes[~ends], pairs[both]]) & np.uint32(_PLACES - 1)
-    return places.astype(np.int64), np.concatenate([owner[~ends], owner[:-1][both] if len(ends) else owner])
+    second = np.full(len(hashes), -1, np.int64)
+    second[:-1] = np.where(np.diff(line) > 1, -1, (pairs & np.uint32(_PLACES - 1)).astype(np.int64))
+    return (hashes & np.uint32(_PLACES - 1)).astype(np.int64), second, line
+
+
+def _window_grams(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of the grams of a window within one paragraph."""
+    return np.unique(np.concatenate([first, second[:-1]]))
 
 
 def _grams(line: str) -> np.ndarray:
-    return np.unique(paragraph_grams(line.replace("\n", " "))[0])
+    first, second, _ = text_grams(line.replace("\n", " "))
+    return _window_grams(first, second)
 
 
 @dataclass
@@ -135,27 +146,90 @@ class Classifier:
     temperature: float
 
     def classify(self, text: str) -> list[tuple[int, str, float, float]]:
-        """(paragraph, family, probability, part of the best template it holds) of all but unknown paragraphs."""
-        places, owner = paragraph_grams(text)
-        if not len(places):
-            return []
-        order = np.lexsort((places, owner))
-        places, owner = places[order], owner[order]
-        new = np.ones(len(places), bool)
-        new[1:] = (places[1:] != places[:-1]) | (owner[1:] != owner[:-1])
-        places, owner = places[new], owner[new]
-        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        sizes = np.diff(np.append(starts, len(owner)))
-        logits = np.add.reduceat(self.weights[places], starts, axis=0) / np.sqrt(sizes)[:, None] + self.bias
-        best = logits.argmax(axis=1)
+        """(line, family, probability, part of its template it holds) of all notices, by their place."""
+        first, second, line = text_grams(text)
         found = []
-        for k in np.flatnonzero(best != self.families.index(UNKNOWN)):
-            z = logits[k].astype(float) / self.temperature
-            p = np.exp(z - z.max())
-            family = self.families[best[k]]
-            common = _common(places[starts[k] : starts[k] + sizes[k]], family)
-            found.append((int(owner[starts[k]]), family, float(p[best[k]] / p.sum()), common))
-        return found
+        for start, end, family, common in _windows(first, second, line):
+            grams = _window_grams(first[start:end], second[start:end])
+            z = self.weights[grams].sum(axis=0) / np.sqrt(len(grams)) + self.bias
+            if self.families[z.argmax()] == family:
+                z = z.astype(float) / self.temperature
+                p = np.exp(z - z.max())
+                found.append((-common, -float(p.max() / p.sum()), start, end, family))
+        notices = []
+        taken = np.zeros(len(first), bool)
+        for common, p, start, end, family in sorted(found):
+            if not taken[start:end].any():
+                taken[start:end] = True
+                notices.append((start, int(line[start]), family, -p, -common))
+        return [n[1:] for n in sorted(notices)]
+
+
+@dataclass
+class _Templates:
+    """Of each template its family, number of grams and longest window; ``holds`` (_PLACES, templates), their grams."""
+
+    families: list[str]
+    sizes: np.ndarray
+    longest: list[int]
+    holds: np.ndarray
+    any_holds: np.ndarray
+
+
+_templates: list[_Templates] = []
+
+
+def _all_templates() -> _Templates:
+    if not _templates:
+        both = [(f, t) for f, ts in sorted(TEMPLATES.items()) for t in ts]
+        holds = np.zeros((_PLACES, len(both)), bool)
+        for k, (_, t) in enumerate(both):
+            holds[_grams(t), k] = True
+        # A quarter more words than the template has, and some for short ones, may stand between its own.
+        longest = [n + n // 4 + 2 for n in (len(t.split()) for _, t in both)]
+        _templates.append(_Templates([f for f, _ in both], holds.sum(axis=0), longest, holds, holds.any(axis=1)))
+    return _templates[0]
+
+
+def _windows(first: np.ndarray, second: np.ndarray, line: np.ndarray) -> list[tuple[int, int, str, float]]:
+    """(start, end, family, part) of windows of a paragraph that hold enough of a template; those of one don't overlap."""
+    known = _all_templates()
+    at_first = np.flatnonzero(known.any_holds[first])
+    at_second = np.flatnonzero((second >= 0) & known.any_holds[second])
+    grams, index = np.unique(np.concatenate([first[at_first], second[at_second]]), return_inverse=True)
+    # Only a text that has enough of a template anywhere can have a window with it.
+    possible = np.flatnonzero(known.holds[grams].sum(axis=0) >= LEAST_COMMON * known.sizes - 1e-9)
+    if not len(possible):
+        return []
+    # Word by word: where it begins and the last word it needs, which is the next one for pairs.
+    start = np.concatenate([at_first, at_second])
+    last = np.concatenate([at_first, at_second + 1])
+    order = np.lexsort((last, start))
+    start, last, index = start[order], last[order], index[order]
+    # Words of different paragraphs are too far from each other to share a window.
+    far = np.cumsum(np.diff(line, prepend=line[:1]) > 1) * 1_000
+    found = []
+    for k in possible:
+        own = known.holds[grams[index], k]
+        begins, ends, gram = start[own], last[own], index[own]
+        spread = begins + far[begins]
+        least, longest = int(np.ceil(LEAST_COMMON * known.sizes[k] - 1e-9)), known.longest[k]
+        # The grams from each hit on that lie in a window; only where they are enough can they be distinct enough.
+        until = np.searchsorted(spread, spread + longest)
+        windows = []
+        for i in np.flatnonzero(until - np.arange(len(begins)) >= least):
+            inside = ends[i : until[i]] + far[ends[i : until[i]]] < spread[i] + longest
+            distinct, at = np.unique(gram[i : until[i]][inside], return_index=True)
+            if len(distinct) >= least:
+                # It ends with the first occurrence of the last of its grams.
+                end = int(ends[i : until[i]][inside][at].max()) + 1
+                windows.append((-len(distinct), end - int(begins[i]), int(begins[i]), end))
+        taken: set[int] = set()
+        for n, _, a, b in sorted(windows):
+            if taken.isdisjoint(range(a, b)):
+                taken.update(range(a, b))
+                found.append((a, b, known.families[k], -n / int(known.sizes[k])))
+    return found
 
 
 _template_grams: dict[str, list[np.ndarray]] = {}

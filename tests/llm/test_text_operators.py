@@ -161,6 +161,44 @@ def test_licences(spark, classifier):
     assert license_scan.scan(documents(spark, []), classifier).collect() == []
 
 
+GPL = """
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+MIT = """
+ * Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files (the
+ * "Software"), to deal in the Software without restriction, including
+ * without limitation the rights to use, copy, modify, merge, publish"""
+BSD = """
+// Redistribution and use in source and binary forms, with or
+// without modification, are permitted provided that the following
+// conditions are met:"""
+
+
+def test_wrapped_licences_and_those_within_long_lines(spark, classifier):
+    rng = np.random.default_rng(5)
+    long = [text_of(*rng.integers(0, 500, 2_500)) for _ in range(2)]
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    rows = [
+        (1, "x = 1" + GPL),
+        (2, "/*" + MIT),
+        (3, BSD + "\n\ny = 2"),
+        (4, f"{long[0]} {notice} {long[1]}"),
+        (5, f"{long[0]}\n{GPL}\n\n{long[1]}\n{MIT}\n\n{BSD}"),
+        # Words of a notice that blank lines or other words keep apart are none.
+        (6, "\n\n".join(notice.split())),
+        (7, f" {text_of(*range(60))} ".join(notice.split())),
+        (8, f"{notice}\n" * 3),
+    ]
+    found = {r.doc_id: r for r in license_scan.scan(documents(spark, rows), classifier).collect()}
+    want = {1: ["gpl"], 2: ["mit"], 3: ["bsd"], 4: ["gpl"], 5: ["bsd", "gpl", "mit"], 6: [], 7: [], 8: ["gpl"]}
+    assert {d: r.families for d, r in found.items()} == want
+    assert [found[d].n_notices for d in sorted(found)] == [1, 1, 1, 1, 3, 0, 0, 3]
+    assert found[3].paragraph == 1 and found[4].paragraph == 0
+
+
 def test_licences_without_a_corpus(spark):
     assert license_scan.fit(documents(spark, [])).classify("Licensed under CC BY 4.0.")[0][1] == "cc-by"
 
