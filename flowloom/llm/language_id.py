@@ -8,11 +8,12 @@ Every position gets a probability of each language from both states there; a doc
 the means over all its positions. Windows start with empty states, so any text is a set of independent
 windows, of which a bounded number is in memory. The network is trained in numpy by backpropagation through
 time (``train``) on a bounded sample: at most about ``SAMPLE_DOCS`` documents of each language, drawn by a
-hash of doc_id, and at most ``SAMPLE_WINDOWS`` windows of each. Every text is then labelled whole.
+hash of doc_id, and at most ``SAMPLE_WINDOWS`` windows of each; a text shorter than a window is a padded one. Each window counts
+the same. Every text is then labelled whole.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0; rows with a null lang or doc_id are not
 learned from. Ties between languages go to the first in alphabetical order. Repeated rows count as often
-as they come. Other columns are ignored. Without any labelled row every text is ``und``.
+as they come. Other columns are ignored. Without any labelled row of a text that isn't empty every text is ``und``.
 """
 
 from __future__ import annotations
@@ -89,7 +90,12 @@ def _probabilities(net: Network, data: np.ndarray, mask: np.ndarray | None) -> t
 
 
 def _gradients(
-    inputs: np.ndarray, recurrent: np.ndarray, data: np.ndarray, states: np.ndarray, d_states: np.ndarray
+    inputs: np.ndarray,
+    recurrent: np.ndarray,
+    data: np.ndarray,
+    states: np.ndarray,
+    d_states: np.ndarray,
+    mask: np.ndarray | None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Backpropagation through time of one direction: gradients of ``inputs`` and ``recurrent``."""
     steps, units, n = states.shape
@@ -103,6 +109,8 @@ def _gradients(
         gate, c = a[:units], a[units:]
         z = 0.5 + 0.5 * gate
         d_h = d_h + d_states[t]
+        if mask is not None:
+            d_h *= mask[t]
         d_a[t, :units] = d_h * (c - before) * 0.5 * (1 - np.abs(gate)) ** 2
         d_a[t, units:] = d_h * z * (1 - np.abs(c)) ** 2
         d_recurrent += d_a[t] @ before.T
@@ -112,23 +120,44 @@ def _gradients(
     return d_inputs.astype(np.float32), d_recurrent
 
 
-def loss_and_gradients(net: Network, data: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross entropy over all positions of ``data`` (time, window), and gradients of the four arrays."""
-    p, forward, backward = _probabilities(net, data, None)
+def loss_and_gradients(
+    net: Network, data: np.ndarray, target: np.ndarray, mask: np.ndarray | None = None
+) -> tuple[float, list[np.ndarray]]:
+    """Mean over windows of the mean cross entropy at positions of ``data`` (time, window), and gradients of the four arrays.
+
+    Positions where ``mask`` is 0 count nowhere.
+    """
+    p, forward, backward = _probabilities(net, data, mask)
     units, rows = net.recurrent.shape[2], np.arange(data.shape[1])
-    loss = float(-np.log(np.maximum(p[:, target, rows], 1e-12)).mean())
+    losses = -np.log(np.maximum(p[:, target, rows], 1e-12))
     p[:, target, rows] -= 1
-    p /= p.shape[0] * p.shape[2]
+    if mask is None:
+        loss = float(losses.mean())
+        p /= p.shape[0] * p.shape[2]
+    else:
+        share = mask / (mask.sum(axis=0) * p.shape[2])
+        loss = float((losses * share).sum())
+        p *= share[:, None]
     both = np.concatenate([forward, backward], axis=1)
     d_output = np.einsum("tlw,tuw->lu", p, both, optimize=True)
     d_both = np.matmul(net.output.T, p)
-    f = _gradients(net.inputs[0], net.recurrent[0], data, forward, d_both[:, :units])
-    b = _gradients(net.inputs[1], net.recurrent[1], data[::-1], backward[::-1], d_both[::-1, units:])
+    f = _gradients(net.inputs[0], net.recurrent[0], data, forward, d_both[:, :units], mask)
+    b = _gradients(net.inputs[1], net.recurrent[1], data[::-1], backward[::-1], d_both[::-1, units:], None if mask is None else mask[::-1])
     return loss, [np.stack([f[0], b[0]]), np.stack([f[1], b[1]]), d_output, p.sum(axis=(0, 2))]
 
 
-def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> Network:
-    """A network from ``windows`` (n, WINDOW) of bytes and the index of each window's language."""
+def train(
+    windows: np.ndarray,
+    target: np.ndarray,
+    languages: list[str],
+    steps: int = STEPS,
+    seed: int = 7,
+    sizes: np.ndarray | None = None,
+) -> Network:
+    """A network from ``windows`` (n, WINDOW) of bytes and the index of each window's language.
+
+    ``sizes`` are the numbers of bytes that belong to texts, from the start of each window on; None if all do.
+    """
     rng = np.random.default_rng(seed)
     scale = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     net = Network(
@@ -146,7 +175,10 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps:
             order = np.concatenate([order, rng.permutation(len(windows))])
         chosen, order = order[:_BATCH], order[_BATCH:]
         data = np.ascontiguousarray(windows[chosen].T).astype(np.intp)
-        _, gradients = loss_and_gradients(net, data, target[chosen])
+        mask = None
+        if sizes is not None and sizes[chosen].min() < data.shape[0]:
+            mask = (np.arange(data.shape[0])[:, None] < sizes[chosen]).astype(np.float32)
+        _, gradients = loss_and_gradients(net, data, target[chosen], mask)
         step += 1
         rate = 0.03 * (1 - 0.9 * step / steps)
         for a, g, m, v in zip(arrays, gradients, mean, square, strict=True):
@@ -238,7 +270,7 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             data = text.as_py().encode("utf-8", "replace")
             # Spread over the text, the last one at its end.
             starts = np.linspace(0, max(0, len(data) - WINDOW), SAMPLE_WINDOWS).astype(int)
-            for start in sorted(set(starts.tolist())) if len(data) >= WINDOW else []:
+            for start in sorted(set(starts.tolist())) if data else []:
                 languages.append(lang)
                 windows.append(data[start : start + WINDOW])
         yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(windows, pa.binary())], ["lang", "bytes"])
@@ -260,9 +292,10 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
     if not languages:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))  # the order of partitions must not matter
-    windows = np.frombuffer(b"".join(bytes(r["bytes"]) for r in rows), np.uint8).reshape(-1, WINDOW)
+    sizes = np.array([len(r["bytes"]) for r in rows])
+    windows = np.frombuffer(b"".join(bytes(r["bytes"]).ljust(WINDOW, b"\0") for r in rows), np.uint8).reshape(-1, WINDOW)
     index = {lang: i for i, lang in enumerate(languages)}
-    return train(windows, np.array([index[r["lang"]] for r in rows]), languages)
+    return train(windows, np.array([index[r["lang"]] for r in rows]), languages, sizes=sizes)
 
 
 def identify(documents: DataFrame, net: Network | None) -> DataFrame:

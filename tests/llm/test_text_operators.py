@@ -254,6 +254,30 @@ def test_language_gradients():
         assert (up - down) / (2 * step) == pytest.approx(float(np.asarray(gradient).reshape(-1)[at]), rel=0.05)
 
 
+def test_languages_of_short_texts_are_learned(spark):
+    """A corpus whose second language has only texts of 40 bytes, and one with nothing else."""
+    rows = [(i, text if lang == "aa" else text[:40], lang) for i, text, lang in language_rows()]
+    short = [(i, text[:40], lang) for i, text, lang in rows]
+    for table in (documents(spark, rows), documents(spark, short)):
+        net = language_id.fit(table)
+        assert net.languages == ["aa", "bb"]
+        found = {r.doc_id: r.lang_pred for r in language_id.identify(table, net).collect()}
+        assert found == {i: lang for i, _, lang in rows}
+        assert language_id.keep_documents(table, net, 0.5).count() == len(rows)
+
+
+def test_padding_changes_no_gradient():
+    rng = np.random.default_rng(6)
+    net = language_id.train(rng.integers(0, 255, (6, 128)).astype(np.uint8), np.arange(6) % 3, ["a", "b", "c"], steps=3)
+    data, target = rng.integers(0, 255, (9, 6)), np.arange(6) % 3
+    padded = np.concatenate([data, rng.integers(0, 255, (5, 6))])
+    mask = (np.arange(14)[:, None] < np.full(6, 9)).astype(np.float32)
+    loss, want = language_id.loss_and_gradients(net, data, target)
+    with_padding, found = language_id.loss_and_gradients(net, padded, target, mask)
+    assert with_padding == pytest.approx(loss, rel=1e-5)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(want, found, strict=True))
+
+
 def test_windows_do_not_depend_on_other_texts():
     rng = np.random.default_rng(4)
     net = language_id.train(rng.integers(0, 255, (20, 128)).astype(np.uint8), np.arange(20) % 2, ["a", "b"], steps=3)
