@@ -531,6 +531,12 @@ oracle(
     """select flow_id, 'agent_5_rf_v1' as agent, feature, abs(weight * (x - mean)) as importance, weight * (x - mean) as shap_value
        from cells join weights using (pos) where aidx = 5""",
 )
+oracle(
+    "q_x2_all_detectors",
+    [FLOWS, ALIASES, NAMED, AGENTS, _weights, _cells],
+    """select flow_id, agent, feature, abs(weight * (x - mean)) as importance, weight * (x - mean) as shap_value
+       from cells join weights using (pos) join agents on idx = aidx""",
+)
 oracle("q_x4_background", [FLOWS, ALIASES, NAMED], f"select flow_id, {V1_LIST} from named order by {KEY} limit 50")
 oracle(
     "q_x5_batch_importance",
@@ -559,6 +565,16 @@ oracle(
             order by rank) as lines
           from tops where agent = 'agent_7_unknown' and rank <= 3 group by 1) using (flow_id)""",
 )
+oracle(
+    "q_x8_all_detectors",
+    EXPLAINED,
+    f"""select d.flow_id, a.agent, coalesce(a.agent || ' detected anomaly based on:' || chr(10) || lines,
+          'No significant features identified.') as explanation
+        from decided d cross join agents a left join (
+          select flow_id, agent, string_agg({_line} || ' anomaly score by ' || printf('%.4f', importance) || ')' || chr(10), ''
+            order by rank) as lines
+          from tops where rank <= 3 group by 1, 2) t on t.flow_id = d.flow_id and t.agent = a.agent""",
+)
 _summaries = """summaries as (
   select d.flow_id, 'Ensemble Decision: ' || upper(prediction) || chr(10) || 'Key Contributing Factors:' || chr(10)
     || coalesce(lines, '') as summary

@@ -806,6 +806,12 @@ def linear_attribution(spark, sf_dir):
     return attribution.attributions_long(rows, ["flow_id"], explainer)
 
 
+@query("q_x2_all_detectors")
+def all_linear_attributions(spark, sf_dir):
+    rows = cleanse.align(fixtures.flows(spark, sf_dir), ["flow_id"])
+    return attribution.all_attributions_long(rows, ["flow_id"], fixtures.linear_explainers())
+
+
 @query("q_x3_sampled_shapley")
 def sampled_shapley(spark, sf_dir):
     agent = next(a for a in AGENTS if a.model_type == "random_forest")
@@ -871,6 +877,17 @@ def agent_texts(spark, sf_dir):
     return tops.select("flow_id", text.agent_text(F.lit(agent), F.col("top")).alias("explanation"))
 
 
+@query("q_x8_all_detectors")
+def all_agent_texts(spark, sf_dir):
+    """The text of every detector for every flow, also where it does not judge the flow."""
+    detectors = [
+        F.struct(F.lit(a.name).alias("agent"), attribution.top_of(F.col("explanations"), a.name).alias("top"))
+        for a in AGENTS
+    ]
+    tops = explained(spark, sf_dir).select("flow_id", F.inline(F.array(*detectors)))
+    return tops.select("flow_id", "agent", text.agent_text(F.col("agent"), F.col("top")).alias("explanation"))
+
+
 @query("q_x9_ensemble_text")
 def ensemble_texts(spark, sf_dir):
     words = text.ensemble_text(F.col("prediction"), F.col("explained"))
