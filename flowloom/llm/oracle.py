@@ -165,9 +165,43 @@ select record_id, url, referred_id, status,
 from stated
 """
 
+#: Windows of items and every position of a document where one begins, compared as word lists.
+DECONTAMINATION = r"""
+with docs as (
+    select row_number() over () as rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), items as (
+    select item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark where item_id is not null
+), starts as (
+    select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from items where len(w) > 0
+), windows as (
+    select distinct item_id, if(len(w) < 10, w, w[i:i + 9]) as win from starts
+), places as (
+    select rid, w, unnest(range(1, len(w) + 1)) as pos from docs
+), found as (
+    select p.rid, p.pos, x.item_id, len(x.win) as k
+    from places p join windows x on x.win[1] = p.w[p.pos] and p.w[p.pos:p.pos + len(x.win) - 1] = x.win
+), hit as (
+    select rid, count(distinct q) as n_hit from (select rid, unnest(range(pos, pos + k)) as q from found) group by rid
+), named as (
+    select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+    from (select distinct rid, item_id from found) group by rid
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit,
+    coalesce(n.n_items, 0)::bigint as n_items, sha256(coalesce(n.ids, '')) as items_sha256,
+    coalesce(h.n_hit, 0) > 0 as contaminated
+from docs d left join hit h on h.rid = d.rid left join named n on n.rid = d.rid
+"""
+
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op6_mixing": MIXING,
     "op8_revisits": REVISITS,
     "op9_code_search": CODE_SEARCH,
+    "op13_decontamination": DECONTAMINATION,
 }

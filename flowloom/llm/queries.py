@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, write_table
-from . import code_search, language_id, license_scan, mixing, near_dup, packing, quality_rules, revisits, token_files, toxicity
+from . import (
+    code_search,
+    decontamination,
+    language_id,
+    license_scan,
+    mixing,
+    near_dup,
+    packing,
+    periodic_runs,
+    quality_rules,
+    revisits,
+    token_files,
+    toxicity,
+    whitening,
+)
 from .tokens import SPACED, WORDS
 
 
@@ -87,6 +101,28 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.find_periodic_runs(_table(spark, folder, "documents")).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_license_scan": op2_license_scan,
@@ -98,4 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_revisits": op8_revisits,
     "op9_code_search": op9_code_search,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_whitening": op12_whitening,
+    "op13_decontamination": op13_decontamination,
 }

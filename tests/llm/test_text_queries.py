@@ -38,7 +38,7 @@ def token_ids(name, texts):
 
 
 def test_all_are_registered():
-    names = {f"op{n}" for n in range(1, 11)}
+    names = {f"op{n}" for n in range(1, 14)}
     assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == names
     assert "pipeline" in entry.queries()
 
