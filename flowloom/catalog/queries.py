@@ -835,6 +835,28 @@ def sampled_shapley(spark, sf_dir):
     )
 
 
+@query("q_x3_tree_shapley")
+def tree_shapley(spark, sf_dir):
+    """Exact Shapley values of all four tree detectors for every test flow routed to them, with the largest."""
+    agents = [a for a in AGENTS if a.model_type in ("xgboost", "random_forest")]
+    train, test = ml_rows(spark, sf_dir)
+    registry = training.train_all(train, agents)
+    values = training.explain_trees(registry, routing.route(test, agents=agents), "flow_id", agents)
+    names = F.create_map(*[x for a in agents for x in (F.lit(a.name), F.array(*map(F.lit, a.features)))])
+    biggest = F.array_max(F.transform("shap_values", lambda v, i: F.struct(F.abs(v).alias("size"), (-i).alias("at"))))
+    return values.select(
+        "flow_id",
+        "agent",
+        "expected",
+        "score",
+        "shap_values",
+        names[F.col("agent")][-biggest["at"]].alias("top_feature"),
+        (F.abs(F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v) - F.col("score") + F.col("expected")) < 1e-9).alias(
+            "efficient"
+        ),
+    )
+
+
 @query("q_x4_background")
 def background(spark, sf_dir):
     return sampling.background_sample(cleanse.align(fixtures.flows(spark, sf_dir), ["flow_id"]), "flow_id").select(
