@@ -857,6 +857,28 @@ def tree_shapley(spark, sf_dir):
     )
 
 
+@query("q_x3_kernel_shapley")
+def kernel_shapley(spark, sf_dir):
+    """Kernel Shapley values of the reconstruction detector for every test flow it flags, against the background sample."""
+    agent = next(a for a in AGENTS if a.model_type == "autoencoder")
+    train, test = ml_rows(spark, sf_dir)
+    registry = training.train_all(train, [agent])
+    judged = registry.score(routing.route(test, agents=[agent]), [agent])
+    flagged = judged.filter(F.col(agent.routed) & (F.col(agent.prediction) == 1)).select("flow_id", *CANONICAL)
+    background = sampling.background_sample(train, "flow_id")
+    values = training.explain_reconstruction(registry, flagged, "flow_id", background, agent)
+    return values.select(
+        "flow_id",
+        F.lit(agent.name).alias("agent"),
+        "expected",
+        "score",
+        "shap_values",
+        (F.abs(F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v) - F.col("score") + F.col("expected")) < 1e-9).alias(
+            "efficient"
+        ),
+    )
+
+
 @query("q_x4_background")
 def background(spark, sf_dir):
     return sampling.background_sample(cleanse.align(fixtures.flows(spark, sf_dir), ["flow_id"]), "flow_id").select(

@@ -104,3 +104,45 @@ def test_tree_shapley_query(spark):
     assert rows and all(r.efficient for r in rows)
     assert {r.agent for r in rows} == {"agent_1_xgboost_v1", "agent_2_xgboost_v2", "agent_5_rf_v1", "agent_6_rf_v2"}
     assert all(len(r.shap_values) == (8 if r.agent.endswith("v1") else 39) for r in rows)
+
+
+# kernel Shapley values
+
+
+def test_kernel_values_are_exact_shapley_values(spark):
+    from flowloom.operators import kernel_shap
+
+    rng = np.random.default_rng(7)
+    background = rng.normal(size=(7, WIDTH))
+    flows = rng.normal(size=(40, WIDTH)) * 2
+
+    def model(h):
+        return ((h[..., 0] * h[..., 1] + h[..., 2] ** 2 - h[..., 4]) > 0.5).astype(np.float64)
+
+    def v(x, coalition):
+        mixed = background.copy()
+        mixed[:, list(coalition)] = x[list(coalition)]
+        return model(mixed).mean()
+
+    frame = spark.createDataFrame(
+        [(i, *map(float, x)) for i, x in enumerate(flows)], "id long, " + ", ".join(f"f{k} double" for k in range(WIDTH))
+    )
+    found = {r.id: r for r in kernel_shap.explain(frame, "id", [f"f{k}" for k in range(WIDTH)], background, model).collect()}
+    for i, x in enumerate(flows):
+        phi = np.zeros(WIDTH)
+        for j in range(WIDTH):
+            others = [k for k in range(WIDTH) if k != j]
+            for size in range(WIDTH):
+                weight = math.factorial(size) * math.factorial(WIDTH - size - 1) / math.factorial(WIDTH)
+                for s in itertools.combinations(others, size):
+                    phi[j] += weight * (v(x, set(s) | {j}) - v(x, set(s)))
+        r = found[i]
+        assert np.abs(np.array(r.shap_values) - phi).max() < 1e-12
+        assert r.score == model(x) and abs(r.expected - model(background).mean()) < 1e-15
+    with pytest.raises(ValueError):
+        kernel_shap.explain(frame, "id", [f"f{k}" for k in range(WIDTH)], background[:0], model)
+
+
+def test_kernel_shapley_query(spark):
+    rows = entry.queries()["q_x3_kernel_shapley"](spark, SMALL).collect()
+    assert rows and all(r.efficient and r.score == 1.0 and len(r.shap_values) == 8 for r in rows)
