@@ -879,6 +879,20 @@ def kernel_shapley(spark, sf_dir):
     )
 
 
+@query("q_x3_deep_shapley")
+def deep_shapley(spark, sf_dir):
+    """Backward-multiplier values of both neural detectors for every test flow each of them flags."""
+    agents = [a for a in AGENTS if a.model_type == "lstm"]
+    train, test = ml_rows(spark, sf_dir)
+    registry = training.train_all(train, agents)
+    background = sampling.background_sample(train, "flow_id")
+    values = training.explain_neural(registry, test, "flow_id", background, agents)
+    return values.withColumn(
+        "efficient",
+        F.abs(F.aggregate("shap_values", F.lit(0.0), lambda a, v: a + v) - F.col("score") + F.col("expected")) < 1e-9,
+    )
+
+
 @query("q_x4_background")
 def background(spark, sf_dir):
     return sampling.background_sample(cleanse.align(fixtures.flows(spark, sf_dir), ["flow_id"]), "flow_id").select(

@@ -146,3 +146,44 @@ def test_kernel_values_are_exact_shapley_values(spark):
 def test_kernel_shapley_query(spark):
     rows = entry.queries()["q_x3_kernel_shapley"](spark, SMALL).collect()
     assert rows and all(r.efficient and r.score == 1.0 and len(r.shap_values) == 8 for r in rows)
+
+
+# backward multipliers of perceptrons
+
+
+@pytest.fixture(scope="module")
+def perceptron(flows):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    _, clean, _ = flows
+    return MultilayerPerceptronClassifier(layers=[WIDTH, 6, 3, 2], maxIter=60, seed=3).fit(clean)
+
+
+def test_multipliers_sum_to_the_change_and_follow_the_gradient(spark, flows, perceptron):
+    from flowloom.operators import deep_lift
+
+    x, clean, _ = flows
+    network = deep_lift.layers_of(perceptron)
+    background = deep_lift.background_vectors(clean, "features", 20)
+    found = {r.id: r for r in deep_lift.explain(clean, "id", "features", network, background).collect()}
+    own = {r.id: r.p for r in perceptron.transform(clean).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    for i, r in found.items():
+        assert abs(r.score - own[i]) < 1e-9
+        assert abs(sum(r.shap_values) - (r.score - r.expected)) < 1e-12
+    point = np.nan_to_num(x[5])
+    for j in range(WIDTH):  # one background row a small step away: values are the gradient times the step
+        near = point.copy()
+        near[j] -= 1e-6
+        values, _, _ = deep_lift.attribution_chunk(network, point[None], near[None])
+        up, down = point.copy(), point.copy()
+        up[j] += 1e-6
+        down[j] -= 1e-6
+        slope = (deep_lift.forward(network, up[None])[-1][0] - deep_lift.forward(network, down[None])[-1][0]) / 2e-6
+        assert abs(values[0, j] - slope * 1e-6) < 1e-11
+        assert np.abs(np.delete(values[0], j)).max() == 0
+
+
+def test_deep_shapley_query(spark):
+    rows = entry.queries()["q_x3_deep_shapley"](spark, SMALL).collect()
+    assert rows and all(r.efficient and r.score >= 0.5 for r in rows)
+    assert {len(r.shap_values) for r in rows} <= {8, 39}
