@@ -46,6 +46,13 @@ def layers_of(model) -> Network:
     return network
 
 
+def unstandardised(network: Network, mean: np.ndarray, std: np.ndarray) -> Network:
+    """The same network on raw inputs, when it was fitted on (x - mean) / std (an input of std 0 gives 0)."""
+    (w, b), rest = network[0], network[1:]
+    scale = np.divide(1.0, std, out=np.zeros_like(std, dtype=np.float64), where=std != 0)
+    return [(w * scale, b - (w * scale) @ mean), *rest]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 

@@ -187,3 +187,16 @@ def test_deep_shapley_query(spark):
     rows = entry.queries()["q_x3_deep_shapley"](spark, SMALL).collect()
     assert rows and all(r.efficient and r.score >= 0.5 for r in rows)
     assert {len(r.shap_values) for r in rows} <= {8, 39}
+
+
+def test_standardisation_folds_into_the_first_layer():
+    from flowloom.operators import deep_lift
+
+    rng = np.random.default_rng(2)
+    network = [(rng.normal(size=(4, 3)), rng.normal(size=4)), (rng.normal(size=(1, 4)), rng.normal(size=1))]
+    mean, std = np.array([1.0, -2.0, 0.5]), np.array([2.0, 0.0, 0.25])
+    x = rng.normal(size=(10, 3))
+    standard = np.where(std != 0, (x - mean) / np.where(std != 0, std, 1), 0.0)
+    assert np.allclose(
+        deep_lift.forward(network, standard)[-1], deep_lift.forward(deep_lift.unstandardised(network, mean, std), x)[-1], atol=1e-14
+    )
