@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.schema import RUN_LOG
@@ -23,8 +25,40 @@ def log_steps(steps: DataFrame) -> DataFrame:
     )
 
 
-def append_log(steps: DataFrame, path: str) -> None:
-    log_steps(steps).write.mode("append").parquet(path)
+def append_log(steps: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append rows to the log at ``path`` once: a repeated append of the same batch writes nothing.
+
+    A batch is named by ``batch`` or, by default, by an order-free digest of its rows (the sum of a 64-bit hash of each
+    row, computed by Spark). Its rows are written to an attempt folder of their own and then committed by renaming it to
+    ``committed/<batch>``; a batch already committed is left as it is, and an attempt that failed before its commit is
+    never read (``read_log`` reads committed batches only). Returns whether this call committed the batch.
+    """
+    rows = log_steps(steps)
+    if batch is None:
+        digest = rows.select(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("d"), F.count("*").alias("n"))
+        found = digest.first()
+        batch = f"rows{found['n']}-digest{found['d'] or 0}"
+    spark = steps.sparkSession
+    jvm = spark.sparkContext._jvm
+    committed = jvm.org.apache.hadoop.fs.Path(f"{path}/committed/{batch}")
+    fs = committed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(committed):
+        return False
+    attempt = f"{path}/attempts/{batch}.{uuid.uuid4().hex}"
+    rows.write.parquet(attempt)
+    fs.mkdirs(committed.getParent())
+    if fs.exists(committed) or not fs.rename(jvm.org.apache.hadoop.fs.Path(attempt), committed):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(attempt), True)  # another attempt committed first
+        return False
+    return True
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows of a log written by ``append_log``; an empty log has none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/committed")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], RUN_LOG)
+    return spark.read.schema(RUN_LOG).option("recursiveFileLookup", "true").parquet(f"{path}/committed")
 
 
 def _order() -> Column:

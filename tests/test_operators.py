@@ -279,3 +279,19 @@ def test_run_log(spark):
     assert [r.run_id for r in runlog.ready_runs(log).collect()] == ["r1"]
     assert {r.run_id: r.total_seconds for r in runlog.run_duration(log).collect()}["r1"] == 90.0
     assert [r.error for r in runlog.last_errors(log).orderBy("recency").collect()] == ["e5", "e4", "e3"]
+
+
+def test_appending_twice_gives_the_rows_once(spark):
+    from flowloom.session import scratch_path
+
+    rows = [("r1", "d", "load", "completed", [], [], 1.0), ("r1", "d", "load", "completed", [], [], 1.0)]
+    steps = spark.createDataFrame(rows, "run_id string, dataset_name string, step string, status string, errors array<string>, warnings array<string>, seconds double")
+    steps = steps.withColumns({m: F.lit(None).cast("double") for m in ("accuracy", "precision", "recall", "f1_score")})
+    steps = steps.withColumns({"start_time": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "end_time": F.lit(None).cast("timestamp_ntz")})
+    path = scratch_path(spark, "log-test")
+    assert runlog.read_log(spark, path).count() == 0
+    assert runlog.append_log(steps, path) and not runlog.append_log(steps.repartition(3), path)
+    assert runlog.read_log(spark, path).count() == 2  # repeated rows of one batch stay; the repeated batch does not
+    runlog.log_steps(steps).write.parquet(f"{path}/attempts/lost.attempt")  # an attempt that never committed
+    assert runlog.append_log(steps.withColumn("step", F.lit("fit")), path)
+    assert sorted(r.step for r in runlog.read_log(spark, path).collect()) == ["fit", "fit", "load", "load"]
