@@ -4,9 +4,12 @@ To take the k rows of a group with the smallest order keys, ranking the group wo
 rows into one task. Instead the keys are counted by a short prefix, which combines well before the
 shuffle, and the running count names the bucket in which the k-th row lies. Only the rows of those
 buckets (1 in 256) are looked at again, counted by a longer prefix, and only the rows of the bucket
-found then (1 in a million) are ranked. The k-th key is a cut: one short text per group, which enters
-the plan as a constant, so selecting is a filter on the full table, without a join or a shuffle, whatever
-the planner's settings. There may be at most ``MAX_GROUPS`` groups.
+found then (1 in a million) are ranked. The k-th key is a cut: one short text per group. Up to
+``MAX_GROUPS`` groups the cuts enter the plan as constants, so selecting is a filter on the full table,
+without a join or a shuffle, whatever the planner's settings. Beyond that the buckets and cuts stay tables
+and are joined on (group, key prefix): each cut is repeated for the 256 two-digit prefixes up to its own,
+so the rows of one group, even one with a third of the table, are spread over 256 join keys, and the
+repeated table grows with the number of groups, never with their rows. Both ways give the same rows.
 
 Row identities must be unique; copies of one row need identities of their own
 (``sources.flows.with_row_identity`` gives them).
@@ -26,8 +29,9 @@ from flowloom.session import write_table
 
 _GROUP, _KEY, _BUCKET, _CUT = "_group", "_key", "_bucket", "_cut"
 _COARSE, _FINE = 2, 5  # hexadecimal digits of the order key
-#: Groups whose cuts fit a plan as constants.
+#: Groups whose cuts fit a plan as constants; more are joined as a table.
 MAX_GROUPS = 10_000
+_PREFIXES = 16**_COARSE
 
 _EVERYTHING = "*"  # the one group of a table that is sampled as a whole
 
@@ -50,11 +54,13 @@ def _edges(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _constants(table: DataFrame, group: str, value: str) -> dict:
-    """A small table (group, value) as constants."""
-    rows = table.select(group, value).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to sample from")
-    return {r[group]: r[value] for r in rows}
+    """A small table (group, value) as constants; at most ``MAX_GROUPS`` rows (checked by the caller)."""
+    return {r[group]: r[value] for r in table.select(group, value).collect()}
+
+
+def _few(table: DataFrame) -> bool:
+    """Whether a table of one row per group has at most ``MAX_GROUPS`` rows."""
+    return table.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
 
 
 def _of_group(group: Column, constants: dict) -> Column:
@@ -71,8 +77,19 @@ def _of_group(group: Column, constants: dict) -> Column:
     return value
 
 
-def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED) -> dict:
-    """Per group the order key of its k-th row, without groups whose k is 0.
+def _in_bucket(keyed: DataFrame, buckets: DataFrame, digits: int, few: bool) -> DataFrame:
+    """Rows of ``keyed`` whose key starts with their group's bucket ``_b``: a filter on constants, or a semi join on
+    (group, prefix), which spreads a large group over its prefixes."""
+    prefix = F.substring(_KEY, 1, digits)
+    if few:
+        return keyed.filter(prefix == _of_group(F.col(_GROUP), _constants(buckets, "_g", "_b")))
+    on = F.col(_GROUP).eqNullSafe(F.col("_g")) & (prefix == F.col("_b"))
+    return keyed.join(buckets.select("_g", "_b"), on, "left_semi")
+
+
+def cut_table(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED) -> tuple[DataFrame, bool]:
+    """Per group the order key of its k-th row, as a table (_g, _cut) without groups whose k is 0, and whether
+    there are at most ``MAX_GROUPS`` such groups.
 
     ``quota`` maps a table (_group, n) of group sizes to one with an added column ``quota``.
     """
@@ -82,31 +99,51 @@ def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed
         F.col(_GROUP).alias("_g"), F.least("quota", "n").alias("nth")
     )
     edges = write_table(_edges(coarse, wanted), "cut-buckets")
-    bucket = _of_group(F.col(_GROUP), _constants(edges, "_g", "_b"))
-    near = write_table(keyed.filter(F.substring(_KEY, 1, _COARSE) == bucket), "near-cuts")
+    few = _few(edges)
+    near = write_table(_in_bucket(keyed, edges, _COARSE, few), "near-cuts")
     fine = write_table(_edges(_histogram(near, _FINE), edges.select("_g", "nth")), "fine-buckets")
-    bucket = _of_group(F.col(_GROUP), _constants(fine, "_g", "_b"))
     rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_KEY))
-    last = near.filter(F.substring(_KEY, 1, _FINE) == bucket).withColumn("rank", rank)
+    last = _in_bucket(near, fine, _FINE, few).withColumn("rank", rank)
     cuts = last.join(fine, F.col(_GROUP).eqNullSafe(F.col("_g"))).filter("rank = nth")
-    return _constants(cuts, _GROUP, _KEY)
+    return write_table(cuts.select(F.col(_GROUP).alias("_g"), F.col(_KEY).alias("_cut")), "cuts"), few
 
 
-def _within(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int) -> Column:
-    cut = _of_group(group, cut_keys(df, group, identity, quota, seed))
-    return F.coalesce(hash_order(F.col(identity), seed) <= cut, F.lit(False))
+def cut_keys(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED) -> dict:
+    """Per group the order key of its k-th row, without groups whose k is 0; at most ``MAX_GROUPS`` groups."""
+    cuts, few = cut_table(df, group, identity, quota, seed)
+    if not few:
+        raise ValueError(f"more than {MAX_GROUPS} groups: use cut_table")
+    return _constants(cuts, "_g", "_cut")
+
+
+def _marked(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int, flag: str) -> DataFrame:
+    """``df`` with ``flag`` true for exactly the quota of each group (rows whose order key is at most its cut)."""
+    cuts, few = cut_table(df, group, identity, quota, seed)
+    key = hash_order(F.col(identity), seed)
+    if few:
+        return df.withColumn(flag, F.coalesce(key <= _of_group(group, _constants(cuts, "_g", "_cut")), F.lit(False)))
+    g, k, cg, cut, p = (f"__sampling_{n}" for n in ("group", "key", "cut_group", "cut", "prefix"))
+    keyed = df.withColumns({g: group.cast("string"), k: key})
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(_PREFIXES - 1)), lambda i: F.lower(F.lpad(F.hex(i), _COARSE, "0")))
+    salted = cuts.select(F.col("_g").alias(cg), F.col("_cut").alias(cut), F.explode(prefixes).alias(p))
+    # It grows with the groups, and its parquet files compress far below its size in memory: never broadcast.
+    salted = write_table(salted.filter(F.col(p) <= F.substring(cut, 1, _COARSE)), "salted-cuts").hint("merge")
+    on = F.col(g).eqNullSafe(F.col(cg)) & (F.substring(k, 1, _COARSE) == F.col(p))
+    joined = keyed.join(salted, on, "left")
+    return joined.withColumn(flag, F.coalesce(F.col(k) <= F.col(cut), F.lit(False))).drop(g, k, cg, cut, p)
 
 
 def mark_selected(
     df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int = fv.SEED, flag: str = "selected"
 ) -> DataFrame:
     """Add a boolean column that is true for exactly the quota of each group."""
-    return df.withColumn(flag, _within(df, group, identity, quota, seed))
+    return _marked(df, group, identity, quota, seed, flag)
 
 
 def _selected(df: DataFrame, group: Column, identity: str, quota: QuotaRule, seed: int) -> DataFrame:
     """Only the quota of each group."""
-    return df.filter(_within(df, group, identity, quota, seed))
+    flag = "__sampling_selected"
+    return _marked(df, group, identity, quota, seed, flag).filter(F.col(flag)).drop(flag)
 
 
 def sample_by_ratio(
