@@ -1046,6 +1046,14 @@ def latest(spark, sf_dir):
     return monitor.last_snapshot(spark, f"{path}/rows", points.schema).drop("ts")
 
 
+@query("q_r3_latest_state")
+def latest_state(spark, sf_dir):
+    path = scratch_path(spark, "latest-state")
+    points = monitor.chart_points(record_stream(spark, sf_dir), "event_id", "ts")
+    monitor.run_latest_state(points, "event_id", "ts", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return monitor.latest_from_state(spark, f"{path}/rows", points.schema, "event_id", "ts").drop("ts")
+
+
 @query("q_r4_alerts")
 def alert_stream(spark, sf_dir):
     return appended(spark, monitor.alerts(record_stream(spark, sf_dir), ["event_id"]), "alerts")

@@ -167,6 +167,25 @@ def test_state_over_many_batches(spark, tmp_path):
     assert got == set(range(980, 1000))
 
 
+def test_latest_points_kept_in_the_state_store(spark, tmp_path):
+    schema = event_files(spark, tmp_path, [(500, 1000), (0, 200), (200, 500)])
+    target = tmp_path / "in"
+    target.mkdir()
+    stream = monitor.read_stream(spark, str(target), schema)
+    points = monitor.chart_points(records_of(fixtures.as_event_flows(stream)), "event_id", "ts")
+    out, checkpoint = str(tmp_path / "latest"), str(tmp_path / "c")
+    want = monitor.latest_points(monitor.chart_points(records_of(fixtures.event_flows(spark, SMALL)), "event_id", "ts"), "event_id", "ts")
+    for i in range(3):  # one file, then a restart from the checkpoint with the next
+        shutil.copy(next((tmp_path / f"{i}").glob("*.parquet")), target / f"{i}.parquet")
+        monitor.run_latest_state(points, "event_id", "ts", out, checkpoint).awaitTermination()
+    got = monitor.latest_from_state(spark, out, points.schema, "event_id", "ts")
+    assert got.columns == points.columns and sorted(got.collect()) == sorted(want.collect())
+    appended = spark.read.parquet(out)
+    per_version = appended.groupBy(monitor._SALT, monitor._VERSION).count()
+    assert per_version.agg(F.max("count")).first()[0] <= 20  # the state of a key is 20 rows at most
+    assert per_version.agg(F.max(monitor._VERSION)).first()[0] <= 3  # one version per batch, none repeated
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = event_files(spark, tmp_path, [(0, 400), (450, 900), (900, 1000), (400, 450)])
     flows = replay(spark, tmp_path, schema, 4)
