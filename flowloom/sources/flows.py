@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,23 +16,47 @@ from flowloom.session import write_table
 
 #: Column with the text of a line that has a value of another kind than its column; else null.
 MALFORMED = "_malformed"
-_READERS = 16
+_FIRST_BYTES = 1 << 16  # bytes read at a time while looking for the end of a file's first line
 
 
-def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header; of every file only the first line is read."""
-    files = spark.read.text(path).inputFiles()
+def _first_lines(batches):
+    """For each file path, its first line (without the line break), read through pyarrow's filesystems.
+
+    Only the bytes up to the first line break are read; a ``.gz`` file is decompressed as a stream. An empty file has
+    an empty first line.
+    """
+    import pandas as pd
+    from pyarrow import fs
+
+    for batch in batches:
+        lines = []
+        for uri in batch["path"]:
+            filesystem, inner = fs.FileSystem.from_uri(uri)
+            head = b""
+            with filesystem.open_input_stream(inner, compression="detect") as stream:
+                while b"\n" not in head:
+                    chunk = stream.read(_FIRST_BYTES)
+                    if not chunk:
+                        break
+                    head += chunk
+            lines.append(head.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", errors="replace"))
+        yield pd.DataFrame({"path": batch["path"], "line": lines})
 
-    def header(file: str) -> tuple[str, ...]:
-        first = spark.read.text(file).head(1)
-        return tuple(n.strip() for n in next(csv.reader([first[0].value]))) if first and first[0].value else ()
 
-    with ThreadPoolExecutor(_READERS) as pool:
-        found = list(pool.map(header, files))
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, found by one Spark job however many files there are.
+
+    The files are listed as Spark lists them for any read (a scan of ``binaryFile`` that reads no content); the tasks
+    read the first line of each of their files, nothing more.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    files = spark.read.format("binaryFile").load(paths).select("path")
+    found = files.mapInPandas(_first_lines, "path string, line string").collect()
     by_header = defaultdict(list)
-    for file, names in zip(files, found):
+    for row in sorted(found):
+        names = tuple(n.strip() for n in next(csv.reader([row.line]))) if row.line else ()
         if names:
-            by_header[names].append(file)
+            by_header[names].append(row.path)
     return dict(by_header)
 
 

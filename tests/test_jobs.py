@@ -32,6 +32,33 @@ def test_csv_with_and_without_gzip(spark, tmp_path):
     assert flow_source.read_csv(spark, str(tmp_path / "gz"), flow_table(V1), partitions=2).count() == 2
 
 
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    import gzip
+
+    names = [f.name for f in flow_table(V1).fields]
+    line = "10.0.0.1,80,10.0.0.2,443,6,7.0,1000,710,5,4,27,4294872,Benign,0".split(",")
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(30):
+        order = names if i % 2 else names[::-1]
+        text = ",".join(order) + "\n" + ",".join(line if i % 2 else line[::-1]) + "\n"
+        if i % 3:
+            (folder / f"{i}.csv").write_text(text)
+        else:
+            (folder / f"{i}.csv.gz").write_bytes(gzip.compress(text.encode()))
+    (folder / "empty.csv").write_text("")
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers of many files")
+    try:
+        found = flow_source._headers(spark, str(folder))
+    finally:
+        context.setJobGroup("other", "other")
+    assert len(context.statusTracker().getJobIdsForGroup("headers")) == 1
+    assert sorted(len(files) for files in found.values()) == [15, 15] and set(found) == {tuple(names), tuple(names[::-1])}
+    table = flow_source.read_csv(spark, str(folder), flow_table(V1))
+    assert table.count() == 30 and table.filter(F.col("FLOW_DURATION_MILLISECONDS") == 4294872.0).count() == 30
+
+
 def test_first_rows_over_many_files(spark, tmp_path):
     path = str(tmp_path / "many")
     spark.range(0, 1000, 1, 7).write.parquet(path)
