@@ -24,6 +24,7 @@ from flowloom.sources import flows as flow_source
 from flowloom.sources import requests as request_source
 from flowloom.sources import sinks
 from flowloom.streaming import monitor
+from flowloom.streaming import responses as answering
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,6 +164,18 @@ def saved_models(spark, sf_dir):
     return counts.select(F.inline(F.array(*cells)))
 
 
+@query("q_s8_response_stream")
+def response_stream(spark, sf_dir):
+    """Requests written as files and answered by a stream, one file a micro-batch; no SQL (tested against the batch)."""
+    path = scratch_path(spark, "response-stream")
+    requests_in = fixtures.requests(spark, sf_dir)
+    requests_in.repartition(4).write.parquet(f"{path}/in")
+    stream = monitor.read_stream(spark, f"{path}/in", requests_in.schema, files_per_trigger=1)
+    answered, bad = f"{path}/responses", f"{path}/quarantine"
+    answering.run_responses(stream, "flow_id", fixtures.linear_explainers(), answered, bad, f"{path}/checkpoint").awaitTermination()
+    return answering.read_responses(spark, answered)
+
+
 @query("q_s7_report")
 def report(spark, sf_dir):
     path = scratch_path(spark, "report")

@@ -344,6 +344,33 @@ def test_prediction_of_requests_with_trained_detectors(spark, trained):
     assert len(plan) < 100_000
 
 
+def test_responses_of_a_request_stream_equal_the_batch_also_after_a_repeat(spark, tmp_path):
+    from flowloom.plans import predict
+    from flowloom.streaming import responses
+
+    requests_all = fixtures.requests(spark, SMALL)
+    target = tmp_path / "in"
+    target.mkdir()
+    for i, part in enumerate((requests_all.filter("flow_id < '5'"), requests_all.filter("flow_id >= '5'"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"{i}"))
+        source = next((tmp_path / f"{i}").glob("*.parquet"))
+        shutil.copy(source, target / f"{i}.parquet")
+        os.utime(target / f"{i}.parquet", (time.time() - 1000 + i, time.time() - 1000 + i))
+    stream = monitor.read_stream(spark, str(target), requests_all.schema, files_per_trigger=1)
+    explainers = fixtures.linear_explainers()
+    out, bad, checkpoint = (str(tmp_path / n) for n in ("responses", "quarantine", "checkpoint"))
+    responses.run_responses(stream, "flow_id", explainers, out, bad, checkpoint).awaitTermination()
+    predicted, quarantined = predict.predict_requests(requests_all, "flow_id", explainers)
+    want = sorted(predict.as_responses(predicted).collect())
+    assert sorted(responses.read_responses(spark, out).collect()) == want and len(want) > 0
+    assert spark.read.json(f"{bad}/batch=*").count() == quarantined.count() > 0
+    # The first batch once more, as after a failure before its commit: its folders are replaced, nothing doubles.
+    again = spark.read.parquet(str(target / "0.parquet"))
+    responses.answer_batch(again, 0, "flow_id", explainers, out, bad)
+    assert sorted(responses.read_responses(spark, out).collect()) == want
+    assert spark.read.json(f"{bad}/batch=*").count() == quarantined.count()
+
+
 def test_flows_without_a_vote_are_not_explained(spark):
     from flowloom.plans import predict
 
