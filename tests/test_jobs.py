@@ -380,3 +380,17 @@ def test_flows_without_a_vote_are_not_explained(spark):
     assert {(r.prediction, len(r.explanations)) for r in predicted.collect()} == {("unknown", 0)}
     assert predicted.filter("briefing like '%ANOMALY%' or briefing like '%Block%'").count() == 0
     assert predict.as_responses(predicted).filter("explanation is not null").count() == 0
+
+
+def test_first_lines_longer_than_one_read(tmp_path):
+    import gzip
+
+    import pandas as pd
+
+    long_header = ",".join(f"column_{i}" for i in range(20_000))  # over 64 KiB, so several reads
+    (tmp_path / "long.csv").write_text(long_header + "\r\n1,2\n")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"a,b\n1,2\n"))
+    (tmp_path / "empty.csv").write_text("")
+    paths = [f"file:{tmp_path / n}" for n in ("long.csv", "z.csv.gz", "empty.csv")]
+    (found,) = list(flow_source._first_lines(iter([pd.DataFrame({"path": paths})])))
+    assert list(found["line"]) == [long_header, "a,b", ""]
