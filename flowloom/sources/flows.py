@@ -25,13 +25,16 @@ def _first_lines(batches):
     Only the bytes up to the first line break are read; a ``.gz`` file is decompressed as a stream. An empty file has
     an empty first line.
     """
+    from urllib.parse import quote
+
     import pandas as pd
     from pyarrow import fs
 
     for batch in batches:
         lines = []
         for uri in batch["path"]:
-            filesystem, inner = fs.FileSystem.from_uri(uri)
+            # Spark gives paths decoded (a space stays a space); pyarrow wants them percent-encoded and decodes them.
+            filesystem, inner = fs.FileSystem.from_uri(quote(uri, safe=":/"))
             head = b""
             with filesystem.open_input_stream(inner, compression="detect") as stream:
                 while b"\n" not in head:

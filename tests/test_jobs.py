@@ -391,6 +391,8 @@ def test_first_lines_longer_than_one_read(tmp_path):
     (tmp_path / "long.csv").write_text(long_header + "\r\n1,2\n")
     (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"a,b\n1,2\n"))
     (tmp_path / "empty.csv").write_text("")
-    paths = [f"file:{tmp_path / n}" for n in ("long.csv", "z.csv.gz", "empty.csv")]
+    (tmp_path / "a name with spaces, 100% #1.csv").write_text("c,d\n")
+    names = ("long.csv", "z.csv.gz", "empty.csv", "a name with spaces, 100% #1.csv")
+    paths = [f"file:{tmp_path / n}" for n in names]  # decoded, as Spark lists them
     (found,) = list(flow_source._first_lines(iter([pd.DataFrame({"path": paths})])))
-    assert list(found["line"]) == [long_header, "a,b", ""]
+    assert list(found["line"]) == [long_header, "a,b", "", "c,d"]
