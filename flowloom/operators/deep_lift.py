@@ -69,18 +69,27 @@ def forward(network: Network, x: np.ndarray) -> list[np.ndarray]:
 
 def attribution_chunk(network: Network, x: np.ndarray, background: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(values: flows x features, p(x), mean p over the background)."""
-    here, there = forward(network, x[:, None, :]), forward(network, background[None, :, :])
-    multiplier = np.ones(here[-1].shape + (1,))  # d p / d p
+    # A unit's input and output depend on the flow or on the background row alone; only their differences pair the two.
+    here, there = forward(network, x), forward(network, background)
+    multiplier = np.ones((1, 1, 1))  # d p / d p
     for layer in range(len(network) - 1, -1, -1):
         w, _ = network[layer]
-        z, z_ref = np.broadcast_arrays(here[layer], there[layer])
-        step = z - z_ref
-        slope = _sigmoid(z) * (1 - _sigmoid(z))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            ratio = np.where(np.abs(step) > SAME, (_sigmoid(z) - _sigmoid(z_ref)) / step, slope)
-        multiplier = (multiplier * ratio) @ w  # through the sigmoid, then the affine map back to its inputs
-    values = (multiplier * (x[:, None, :] - background[None, :, :])).mean(axis=1)
-    return values, here[-1][:, 0], float(there[-1].mean())
+        z, z_ref = here[layer], there[layer]
+        s, s_ref = _sigmoid(z), _sigmoid(z_ref)
+        step = z[:, None, :] - z_ref[None, :, :]
+        same = np.abs(step) <= SAME
+        change = s[:, None, :] - s_ref[None, :, :]
+        step[same] = 1.0
+        ratio = change / step
+        if same.any():
+            ratio = np.where(same, (s * (1 - s))[:, None, :], ratio)
+        multiplier = multiplier * ratio
+        if layer:
+            multiplier = multiplier @ w  # back through the affine map to its inputs
+    # The first affine map comes after the mean over the background: Σ_b (m_b w)(x - b) = (Σ_b m_b) w x - Σ_u w_u Σ_b m_bu b.
+    weighted = multiplier.transpose(0, 2, 1) @ background  # flows x units x features
+    values = ((multiplier.sum(axis=1) @ w) * x - np.einsum("uf,nuf->nf", w, weighted)) / len(background)
+    return values, here[-1], float(there[-1].mean())
 
 
 def explain(rows: DataFrame, key: str, vector: str, network: Network, background: np.ndarray) -> DataFrame:
