@@ -8,9 +8,11 @@ share a band are candidates. At the linking similarity of 0.75 a pair shares non
 probability (1 - 0.75**6)**72, under one in a million.
 
 Candidates of a band are not paired with each other but with a hub, the class that shares the most bands with
-others: in a group of copies that is one with few edits, to which nearly all are linked. Such pairs bring the members' whole texts to
+others: in a group of copies that is one with few edits, to which nearly all are linked. At first every class is paired with
+the foremost hub of its bands only, one pair a class; then, for bands whose classes still lie in different components,
+with the foremost hub of each other component that its bands' hubs lie in. Such pairs bring the members' whole texts to
 their hub, large groups in portions, and count common shingles exactly: a link needs 100 * intersection >= 75 * union.
-Components of links grow by alternating stars. Bands whose classes still lie in different components are then
+Components of links grow by alternating stars. Bands whose classes even then lie in different components are
 searched in full: blocks of their classes compare signatures, one byte per value, of classes in different
 components only, and a pair goes on to the exact count if its estimated similarity is at least
 ``LEAST_ESTIMATE``, more than four standard errors below 0.75. No pair that fails the estimate leaves its task.
@@ -277,29 +279,37 @@ def find_components(documents: DataFrame) -> DataFrame:
         .select("doc_id", "rep"),
         "class-members",
     )
-    banded = classes.select("rep", F.explode("bands").alias("band"))
+    # Dealt by band once, for the counts and for the classes themselves.
+    banded = classes.select("rep", F.explode("bands").alias("band")).repartition("band")
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"))
     members = write_table(banded.join(shared.filter("a < b").select("band", "n"), "band"), "band-members")
     # Texts of classes that share a band are all that comparisons need; texts are shuffled once, here.
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = texts.filter("doc_id is not null and text is not null")
     texts = write_table(texts.join(candidates.hint("merge"), "doc_id", "left_semi"), "candidate-texts")
-    degrees = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degrees, "rep").withColumn("rank", F.struct("degree", (-F.col("rep")).alias("place")))
-    hubs = ranked.groupBy("band").agg((-F.max("rank")["place"]).alias("hub"))
-    pairs = members.join(hubs, "band").filter("rep <> hub").select("hub", F.col("rep").alias("member")).distinct()
-    pairs = write_table(_alike_in_size(pairs, named), "pairs")
-    links = write_table(confirm_links(pairs, texts), "confirmed")
+    sizes = named.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    ranks = members.groupBy("rep").agg(F.sum("n").alias("degree")).join(sizes, "rep")
+    ranks = ranks.select("rep", F.struct("degree", (-F.col("rep")).alias("place"), "least", "most").alias("rank"))
+    members = write_table(members.join(ranks, "rep"), "ranked-members")
     # Rows of one doc_id with differing texts lie in several classes, which they link.
     several = same.groupBy("doc_id").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
     several = several.join(same, "doc_id").filter("rep <> hub").select("hub", F.col("rep").alias("member"))
-    links = links.unionByName(several)
+    offers = _offers(members.withColumn("root", F.col("rep")))
+    pairs = write_table(_foremost(offers, "member"), "pairs")
+    links = confirm_links(pairs, texts).unionByName(several)
+    links = write_table(links, "confirmed")
     roots = write_table(components(links), "roots")
+    # Classes whose bands have hubs in other components try the foremost hub of each such component.
+    offers = _foremost(_offers(_mixed(members, roots)), "member", "hub_root")
+    others = write_table(offers.join(pairs, ["hub", "member"], "left_anti"), "other-pairs")
+    pairs = pairs.unionByName(others)
+    found = write_table(confirm_links(others, texts), "other-links")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        roots = write_table(components(links), "roots")
     # Bands whose classes are not all in one component yet are searched in full.
-    rooted = _roots(members.select("band", "rep", "n"), roots)
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-    rooted = write_table(rooted.join(mixed.select("band"), "band"), "mixed-bands")
-    more = write_table(_search(rooted, named).join(pairs, ["hub", "member"], "left_anti"), "more-pairs")
+    mixed = write_table(_mixed(members, roots), "mixed-bands")
+    more = write_table(_search(mixed, named).join(pairs, ["hub", "member"], "left_anti"), "more-pairs")
     found = write_table(confirm_links(more, texts), "more-links")
     if not found.isEmpty():
         roots = write_table(components(links.unionByName(found)), "roots")
@@ -337,21 +347,34 @@ def _search(rooted: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
-def _alike_in_size(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Sets whose sizes differ by more than the similarity allows can't be linked."""
-    sizes = sketches.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    hub = sizes.select(F.col("doc_id").alias("hub"), F.col("least").alias("hub_least"), F.col("most").alias("hub_most"))
-    member = sizes.withColumnRenamed("doc_id", "member")
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (band, rep, ...) with their root, of the bands whose classes lie in different components."""
+    rooted = _roots(members, roots)
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+    return rooted.join(mixed.select("band"), "band")
+
+
+def _offers(rooted: DataFrame) -> DataFrame:
+    """(member, degree, place, hub_root) for each band of (band, rep, rank, root): classes of other components than its hub's.
+
+    Sets whose sizes differ by more than the similarity allows can't be linked and are left out.
+    """
+    hubs = rooted.groupBy("band").agg(F.max(F.struct("rank", "root")).alias("hub"))
+    hub, own = F.col("hub.rank"), F.col("rank")
     return (
-        pairs.join(hub, "hub")
-        .join(member, "member")
-        .filter(
-            (100 * F.col("hub_most") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("hub_least"))
-        )
-        .select("hub", "member")
+        rooted.join(hubs, "band")
+        .filter(F.col("root") != F.col("hub.root"))
+        .filter((100 * hub["most"] >= PERCENT * own["least"]) & (100 * own["most"] >= PERCENT * hub["least"]))
+        .select(F.col("rep").alias("member"), hub["degree"].alias("degree"), hub["place"].alias("place"), F.col("hub.root").alias("hub_root"))
     )
 
 
+def _foremost(offers: DataFrame, *keys: str) -> DataFrame:
+    """(hub, member) with the hub of the highest rank for each value of ``keys``."""
+    best = offers.groupBy(*keys).agg(F.max(F.struct("degree", "place")).alias("best"))
+    return best.select((-F.col("best.place")).alias("hub"), "member")
+
+
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id stands for its component, one for each doc_id."""
     found = find_components(documents).filter("doc_id = component_id").select("doc_id").distinct()
