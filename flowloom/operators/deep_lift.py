@@ -87,8 +87,10 @@ def attribution_chunk(network: Network, x: np.ndarray, background: np.ndarray) -
         if layer:
             multiplier = multiplier @ w  # back through the affine map to its inputs
     # The first affine map comes after the mean over the background: Σ_b (m_b w)(x - b) = (Σ_b m_b) w x - Σ_u w_u Σ_b m_bu b.
-    weighted = multiplier.transpose(0, 2, 1) @ background  # flows x units x features
-    values = ((multiplier.sum(axis=1) @ w) * x - np.einsum("uf,nuf->nf", w, weighted)) / len(background)
+    # Both are taken from one background row, so that a feature without a difference gets exactly 0.
+    origin = background[0]
+    weighted = multiplier.transpose(0, 2, 1) @ (background - origin)  # flows x units x features
+    values = ((multiplier.sum(axis=1) @ w) * (x - origin) - np.einsum("uf,nuf->nf", w, weighted)) / len(background)
     return values, here[-1], float(there[-1].mean())
 
 
