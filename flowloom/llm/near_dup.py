@@ -27,6 +27,7 @@ doc_id count as one document; differing texts under it are all linked with it. O
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,10 @@ PERMUTATIONS = BANDS * ROWS // 2
 PORTION = 256
 BLOCK = 512
 LEAST_ESTIMATE = 0.66
+#: Size of the table of hashes that rows pass before a join: a value, at most, and a part that is one row (fixed by Spark).
+FILTER_BITS = 16
+MOST_FILTER_BITS = 1 << 26
+_FILTER_PART = 8 * 4_096
 #: Shingles hashed at once, which bounds the memory for very long texts.
 _AT_ONCE = 2_048
 
@@ -108,13 +113,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def alike(
-    band: int, roots: np.ndarray, blocks: np.ndarray, signatures: np.ndarray, bands: np.ndarray
-) -> list[tuple[int, int]]:
+def alike(roots: np.ndarray, blocks: np.ndarray, signatures: np.ndarray, earlier: list[set[int]]) -> list[tuple[int, int]]:
     """Places of pairs of different roots, of the two ``blocks`` if there are two, whose estimate is high enough.
 
     A byte agrees by chance once in 256 times. The most common root is only compared with the others. A pair
-    that shares several ``bands`` is named in the first of them only.
+    that shares a band of those ``earlier`` searched is named there.
     """
     least = LEAST_ESTIMATE * signatures.shape[1]
     names, place, counts = np.unique(roots, return_inverse=True, return_counts=True)
@@ -128,9 +131,7 @@ def alike(
             other &= blocks != blocks[i]
         rows = np.flatnonzero(other)
         agree = np.count_nonzero(signatures[rows] == signatures[i], axis=1)
-        rows = rows[agree >= least]
-        first = bands[i][(bands[rows] == bands[i]).argmax(axis=1)]
-        found += [(int(i), int(k)) for k in rows[first == band]]
+        found += [(int(i), int(k)) for k in rows[agree >= least] if earlier[i].isdisjoint(earlier[k])]
     return found
 
 
@@ -139,17 +140,16 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     current, held = None, []
 
     def flush() -> pa.RecordBatch:
-        reps, roots, blocks, signatures, bands = zip(*held, strict=True)
+        reps, roots, blocks, signatures, earlier = zip(*held, strict=True)
         table = np.stack([np.frombuffer(x, np.uint8) for x in signatures])
-        pairs = alike(current[0], np.array(roots), np.array(blocks), table, np.stack(bands))
+        pairs = alike(np.array(roots), np.array(blocks), table, [set(x) for x in earlier])
         hubs = [min(reps[a], reps[b]) for a, b in pairs]
         members = [max(reps[a], reps[b]) for a, b in pairs]
         return pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(members, pa.int64())], ["hub", "member"])
 
     for batch in batches:
         keys = [batch.column(c).to_pylist() for c in ("band", "first", "second")]
-        rows = [batch.column(c).to_pylist() for c in ("rep", "root", "block", "signature")]
-        rows.append(list(batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)))
+        rows = [batch.column(c).to_pylist() for c in ("rep", "root", "block", "signature", "earlier")]
         for key, row in zip(zip(*keys, strict=True), zip(*rows, strict=True), strict=True):
             if key != current and held:
                 yield flush()
@@ -214,6 +214,23 @@ def confirm_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose long ``key`` is one of the distinct values of ``wanted``.
+
+    The join shuffles wide rows, so those whose hash no wanted value has are left out before it. The table of
+    hashes has about ``FILTER_BITS`` bits a value and never more than ``MOST_FILTER_BITS``: beyond that more rows are shuffled.
+    """
+    bits = min(MOST_FILTER_BITS, _FILTER_PART * math.ceil(max(1, wanted.count()) * FILTER_BITS / _FILTER_PART))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    part, at = F.floor(place / _FILTER_PART), place % _FILTER_PART
+    table = wanted.select(part.alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    near = rows.withColumn("_part", part).join(F.broadcast(table), "_part").filter(is_set).select(*rows.columns)
+    # Not a semi join, which the planner would move below the filter.
+    return near.join(wanted.hint("merge"), key).select(*rows.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (hub, member): the smallest node it can reach.
 
@@ -284,9 +301,9 @@ def find_components(documents: DataFrame) -> DataFrame:
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"))
     members = write_table(banded.join(shared.filter("a < b").select("band", "n"), "band"), "band-members")
     # Texts of classes that share a band are all that comparisons need; texts are shuffled once, here.
-    candidates = members.select(F.col("rep").alias("doc_id")).distinct()
+    candidates = write_table(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     texts = texts.filter("doc_id is not null and text is not null")
-    texts = write_table(texts.join(candidates.hint("merge"), "doc_id", "left_semi"), "candidate-texts")
+    texts = write_table(among(texts, "doc_id", candidates), "candidate-texts")
     sizes = named.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     ranks = members.groupBy("rep").agg(F.sum("n").alias("degree")).join(sizes, "rep")
     ranks = ranks.select("rep", F.struct("degree", (-F.col("rep")).alias("place"), "least", "most").alias("rank"))
@@ -325,21 +342,22 @@ def find_components(documents: DataFrame) -> DataFrame:
 
 
 def _search(rooted: DataFrame, named: DataFrame) -> DataFrame:
-    """Distinct (hub, member) of bands (band, rep, n, root) that may be linked and lie in different components."""
-    reps = rooted.select("rep").distinct()
-    signatures = (
-        named.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), "signature", "bands")
-        .distinct()
-    )
+    """Distinct (hub, member) of bands (band, rep, n, root) that may be linked and lie in different components.
+
+    A class goes to a band with its signature and the smaller keys of its bands here only.
+    """
+    classes = rooted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("band", "n", "root"))).alias("places"))
+    signatures = among(named.select(F.col("doc_id").alias("rep"), "signature"), "rep", rooted.select("rep").distinct())
     blocks = F.ceil(F.col("n") / BLOCK)
     return (
-        rooted.join(signatures, "rep")
+        classes.join(signatures.distinct(), "rep")
+        .select("rep", "signature", F.col("places.band").alias("all"), F.posexplode("places").alias("nth", "at"))
+        .select("rep", "signature", "at.*", F.slice("all", F.lit(1), F.col("nth")).alias("earlier"))
         .withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumn("first", F.least("block", "other"))
         .withColumn("second", F.greatest("block", "other"))
-        .select("band", "first", "second", "rep", "root", "block", "signature", "bands")
+        .select("band", "first", "second", "rep", "root", "block", "signature", "earlier")
         .repartition(_partitions(rooted.sparkSession), "band", "first", "second")
         .sortWithinPartitions("band", "first", "second")
         .mapInArrow(_search_blocks, "hub long, member long")
