@@ -200,3 +200,40 @@ def test_standardisation_folds_into_the_first_layer():
     assert np.allclose(
         deep_lift.forward(network, standard)[-1], deep_lift.forward(deep_lift.unstandardised(network, mean, std), x)[-1], atol=1e-14
     )
+
+
+@pytest.mark.parametrize("tabulated", [True, False])
+def test_sampled_orders_by_leaf_equal_scored_coalitions(spark, flows, tabulated, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from flowloom.operators import attribution
+
+    _, clean, _ = flows
+    model = RandomForestClassifier(numTrees=4, maxDepth=4, seed=3, featuresCol="features", labelCol="label").fit(clean)
+    names = [f"f{i}" for i in range(WIDTH)]
+    rows = clean.select("id", *[vector_to_array("features")[i].alias(f) for i, f in enumerate(names)])
+
+    def score(df):
+        scored = model.transform(df.withColumn("features", array_to_vector(F.array(*names))))
+        return scored.withColumn("score", vector_to_array("probability")[1])
+
+    some = rows.filter("id < 12").unionByName(rows.filter("id = 3"))  # a repeated identity: its copies are summed
+    background = rows.filter("id between 20 and 23")
+    trees = tree_shap.ensemble_leaves(spark, model)
+    want = attribution.sampled_shapley(some, "id", names, score, background, permutations=8)
+    found = attribution.sampled_shapley(some, "id", names, trees, background, permutations=8)
+    assert found.columns == want.columns
+    key = lambda r: (r.id, r.feature)
+    want, found = {key(r): r for r in want.collect()}, {key(r): r for r in found.collect()}
+    assert len(want) == 12 * WIDTH and want.keys() == found.keys()
+    for k, r in want.items():
+        assert found[k].shap_value == pytest.approx(r.shap_value, abs=1e-12)
+        assert found[k].importance == abs(found[k].shap_value)
+    if not tabulated:
+        monkeypatch.setattr(tree_shap, "TABLE_ENTRIES", 0)
+        at = np.array([[r[f] for f in names] for r in some.filter("id = 5").collect()])
+        reference = np.array([[r[f] for f in names] for r in background.collect()])
+        ranks = np.argsort(attribution.feature_orders(WIDTH, 8), axis=1)
+        phi, _, _ = tree_shap.shapley_chunk(at, trees, WIDTH, tree_shap.SampledParts(reference, ranks))
+        assert phi[0] == pytest.approx([want[5, f].shap_value for f in names], abs=1e-12)
