@@ -27,12 +27,14 @@ from ..session import write_table
 from .tokens import encoder
 
 CAPACITY = 2048
+#: Pieces a worker keeps encoded, twice as many at most: it keeps them after its tasks, beside the heap of its executor.
+CACHE_ENTRIES = 60_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
 def _cut(path: str, rule: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tokens = TaskContext.get().partitionId(), encoder(path, rule)
+        part, tokens = TaskContext.get().partitionId(), encoder(path, rule, CACHE_ENTRIES)
         end, seen = np.uint32(end_id).tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []

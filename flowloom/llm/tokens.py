@@ -117,11 +117,12 @@ class CachedEncoder:
         return b"".join([self._plain(w) if self._is_plain(w) else self._whole(w) for w in self._words(text)])
 
 
-_encoders: dict[tuple[str, str], CachedEncoder] = {}
+_encoders: dict[tuple[str, str, int], CachedEncoder] = {}
 
 
-def encoder(path: str, rule: str) -> CachedEncoder:
+def encoder(path: str, rule: str, cache_entries: int = 300_000) -> CachedEncoder:
     """The encoder of this process; Spark's workers keep it from task to task."""
-    if (path, rule) not in _encoders:
-        _encoders[path, rule] = CachedEncoder(path, rule)
-    return _encoders[path, rule]
+    key = path, rule, cache_entries
+    if key not in _encoders:
+        _encoders[key] = CachedEncoder(path, rule, cache_entries)
+    return _encoders[key]
